@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid
 from .line_frequency import line_frequency_filter
+from .winnowing import contaminated, find_overlaps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -53,3 +55,42 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_lines_removed, n_words_removed
 from f
 """
+
+
+@query
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+ORACLE_SQL["op7_winnowing"] = r"""
+with d as (select row_number() over () as r, doc_id,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+bw as (select distinct item_id, least(len(ws), 13) as n, array_to_string(list_slice(ws, i, i + least(len(ws), 13) - 1), ' ') as g
+      from (select item_id, ws, unnest(generate_series(1, greatest(len(ws) - 12, 1))) as i from b where len(ws) > 0)),
+lens as (select distinct n from bw),
+dw as (select r, i, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') as g
+      from (select r, ws, n, unnest(generate_series(1, len(ws) - n + 1)) as i from d, lens where len(ws) >= n)),
+o as (select dw.r, dw.i, dw.n, bw.item_id from dw join bw on dw.n = bw.n and dw.g = bw.g),
+h as (select r, count(distinct p) as n_hit from (select r, unnest(generate_series(i, i + n - 1)) as p from o) group by r),
+it as (select r, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from o group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join h using (r) left join it using (r)
+"""
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = langid.fold(F.col("doc_id"), 4)
+    model = langid.fit(docs.where(fold != 2))
+    return langid.detect(docs, model, keep=["doc_id"]).withColumn("held_out", F.coalesce(fold == 2, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
