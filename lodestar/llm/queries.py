@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import langid
 from .line_frequency import line_frequency_filter
+from .packing import pack_documents
 from .winnowing import contaminated, find_overlaps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +95,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = langid.fold(F.col("doc_id"), 4)
     model = langid.fit(docs.where(fold != 2))
     return langid.detect(docs, model, keep=["doc_id"]).withColumn("held_out", F.coalesce(fold == 2, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")

@@ -139,8 +139,7 @@ def _kernel(index, keep: list[str], merge: bool):
                         items[d] |= set(more)
                         for s in spans:
                             hit[first[d] + s["start"] : first[d] + s["end"]] = True
-                edge = np.zeros(len(hit) + 1, bool)
-                a, b = A.bounds(hit, first) if len(hit) else (edge[:0].nonzero()[0],) * 2
+                a, b = A.bounds(hit, first)
                 per = A.per_document(a, first)
                 mine = np.repeat(first[:-1], np.diff(per))
                 spans = pa.StructArray.from_arrays([pa.array((a - mine).astype(np.int64)), pa.array((b - mine).astype(np.int64))], ["start", "end"])
