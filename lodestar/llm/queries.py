@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import langid
 from .line_frequency import line_frequency_filter
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .winnowing import contaminated, find_overlaps
 
@@ -101,3 +102,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
