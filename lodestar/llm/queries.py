@@ -11,6 +11,7 @@ from . import langid
 from .line_frequency import line_frequency_filter
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .warc import archive_round_trip
 from .winnowing import contaminated, find_overlaps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +108,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op5_arc_to_warc"] = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html)::bigint as payload_bytes, sha256(html) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by payload_digest)
+select d.page_id, payload_bytes, d.payload_digest, case when f.first is null or f.first = d.page_id then 'response' else 'revisit' end as record_type,
+       case when f.first <> d.page_id then f.first end as refers_to
+from d left join f on d.payload_bytes >= 100 and d.payload_digest = f.payload_digest
+"""
