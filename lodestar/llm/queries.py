@@ -11,6 +11,7 @@ from . import langid
 from .line_frequency import line_frequency_filter
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .suffix_dedup import remove_repeats
 from .warc import archive_round_trip
 from .winnowing import contaminated, find_overlaps
 
@@ -123,3 +124,8 @@ select d.page_id, payload_bytes, d.payload_digest, case when f.first is null or
        case when f.first <> d.page_id then f.first end as refers_to
 from d left join f on d.payload_bytes >= 100 and d.payload_digest = f.payload_digest
 """
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], with_kept=False)
