@@ -12,6 +12,7 @@ from .line_frequency import line_frequency_filter
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .suffix_dedup import remove_repeats
+from .token_rollup import maintain
 from .warc import archive_round_trip
 from .winnowing import contaminated, find_overlaps
 
@@ -129,3 +130,16 @@ from d left join f on d.payload_bytes >= 100 and d.payload_digest = f.payload_di
 @query
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], with_kept=False)
+
+
+@query
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintain(table(spark, sf_dir, "documents")).totals()
+
+
+ORACLE_SQL["op6_token_rollup"] = r"""
+with d as (select source, lang, coalesce(lang = 'en', false) as en, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n1,
+      len(regexp_extract_all(coalesce(text, ''), '[.,;:!?]|[^\x20\x09-\x0D.,;:!?]+')) as n2 from documents)
+select source, lang, case when en then 'words-v2' else 'words-v1' end as tokenizer, count(*)::bigint as documents, sum(case when en then n2 else n1 end)::bigint as tokens
+from d where n1 > 0 group by all
+"""
