@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, toxicity
 from .line_frequency import line_frequency_filter
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -143,3 +143,11 @@ with d as (select source, lang, coalesce(lang = 'en', false) as en, len(regexp_e
 select source, lang, case when en then 'words-v2' else 'words-v1' end as tokenizer, count(*)::bigint as documents, sum(case when en then n2 else n1 end)::bigint as tokens
 from d where n1 > 0 group by all
 """
+
+
+@query
+def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(langid.fold(F.col("doc_id"), 5) != 0))
+    held_out = F.coalesce(langid.fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return toxicity.score(docs, model, keep=["doc_id"]).withColumn("held_out", held_out).select("doc_id", "held_out", "score", "predicted")
