@@ -11,11 +11,14 @@ probability 1 - 2e-6.) Candidates are confirmed on their full sets.
 
 Equal sets are one node from the start, however many copies there are. Nobody
 emits all pairs of a bucket: each member is first compared with the bucket's
-smallest one, which joins a group of near copies with a number of pairs that
-is linear in its size. Only members that still lie in different components are
-then compared with each other, by size and sketch inside the join, so that just
-plausible pairs come out. Buckets above COLD members are first split by a
-second chunk, and what is still above is compared in blocks of bounded size.
+leader, the member that shares the largest buckets with others and so lies in
+the middle of its group; a group of near copies thus takes a number of pairs
+that is linear in its size. Members that still lie in different components are
+then joined exactly, by prefix filter: of two sets that are similar enough,
+each has one of the other's elements among its rarest (1 - 0.75) n + 1 ones.
+Size and sketch are compared inside that join, so just plausible pairs come
+out, and elements whose sets all lie in one component are left out. Groups above
+COLD rows are compared in blocks of bounded size.
 
 Defined cases: null or wordless documents have no set, are linked with nothing
 and kept; fewer words than WORDS make one shingle; null ids take part and are
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _arrow as A
@@ -124,22 +127,39 @@ def _plausible(n1: Column, n2: Column, a1: Column, a2: Column, b1: Column, b2: C
     return (100 * F.least(n1, n2) >= PERCENT * F.greatest(n1, n2)) & (F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2)) <= SKETCH_DISTANCE)
 
 
+def _sets_of(sids: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """sid and the full set h of the wanted nodes, read again from one document of each."""
+    ids = store(sids.join(nodes.select("sid", "rep"), "sid").select(F.col("rep").alias("wanted")).distinct(), "wanted")
+    rows = docs.join(ids.side(), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+    return rows.select("t").mapInArrow(_sets, "sid long, h array<long>").groupBy("sid").agg(F.any_value("h").alias("h"))
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(nodes.select("sid", "rep"), "sid").select(F.col("rep").alias("wanted")).distinct()
-    ids = store(ids, "wanted")
-    rows = docs.join(ids.side(), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = rows.select("t").mapInArrow(_sets, "sid long, h array<long>").groupBy("sid").agg(F.any_value("h").alias("h"))
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), docs, nodes)
     joined = pairs.join(sets.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b")
     both = F.size(F.array_intersect("ha", "hb"))
     return joined.where(100 * both >= PERCENT * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
 
+def _rarest(sets: DataFrame) -> DataFrame:
+    """key, sid and rank (from 1): of each set, the elements of its prefix, rarest first, that other sets have too."""
+    rows = sets.select("sid", F.size("h").alias("size"), F.explode("h").alias("key"))
+    common = store(rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.col("key").alias("common"), "df"), "common-shingles")
+    ranked = rows.join(common.side(), F.col("key") == F.col("common"), "left").withColumn("rank", F.row_number().over(Window.partitionBy("sid").orderBy(F.coalesce("df", F.lit(1)), "key")))
+    return ranked.where((100 * (F.col("rank") - 1) <= (100 - PERCENT) * F.col("size")) & F.col("df").isNotNull()).select("key", "sid", "rank")
+
+
 def _meet(rows: DataFrame) -> DataFrame:
-    """Plausible pairs of different components among rows (key, sid, n, s1, s2, root) with one key."""
+    """Plausible pairs of different components among rows (key, sid, rank, n, s1, s2, root) with one key.
+
+    If a pair's first common element has these ranks, no more than what follows can be common.
+    """
     x, y = rows.alias("x"), rows.alias("y")
     c = lambda t, k: F.col(f"{t}.{k}")
     near = _plausible(c("x", "n"), c("y", "n"), c("x", "s1"), c("x", "s2"), c("y", "s1"), c("y", "s2"))
+    most = F.least(c("x", "n") - c("x", "rank"), c("y", "n") - c("y", "rank")) + 1
+    near &= (100 + PERCENT) * most >= PERCENT * (c("x", "n") + c("y", "n"))
     return x.join(y, (c("x", "key") == c("y", "key")) & (c("x", "sid") < c("y", "sid")) & (c("x", "root") != c("y", "root")) & near).select(c("x", "sid").alias("a"), c("y", "sid").alias("b"))
 
 
@@ -158,13 +178,19 @@ def near_duplicate_links(docs: DataFrame, *, text: str = "text", doc_id: str = "
     features = store(rows.mapInArrow(_features, f"id {kind}, n long, sid long, keys array<long>, s1 long, s2 long"), "minhash")
     one = lambda *names: [F.any_value(c).alias(c) for c in names]
     nodes = store(features.df.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), *one("n", "keys", "s1", "s2")), "nodes")
-    indexed = nodes.df.select("sid", "n", "s1", "s2", F.posexplode("keys").alias("place", "key"))
+    indexed = nodes.df.select("sid", F.explode("keys").alias("key"))
     buckets = store(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("c > 1"), "buckets")
-    larger = store(buckets.df.where("c > 2").select("key", "c", "lo"), "larger-buckets")
-    members = store(indexed.join(larger.side(), "key"), "members")
+    larger = store(buckets.df.where("c > 2").select("key", "c"), "larger-buckets")
+    members = store(indexed.select("key", "sid").join(larger.side(), "key"), "members")
+
+    # the middle of each larger bucket: the member that shares the most rows with others, over all its buckets
+    weight = store(members.df.groupBy("sid").agg(F.sum("c").alias("w")).select(F.col("sid").alias("member"), "w"), "weights")
+    weighted = members.df.join(weight.side(), F.col("sid") == F.col("member"))
+    leaders = store(weighted.groupBy("key").agg(F.max(F.struct("w", "sid")).alias("l")).select(F.col("key").alias("led"), F.col("l.sid").alias("leader")), "leaders")
+    stars = members.df.join(leaders.side(), F.col("key") == F.col("led")).where("sid <> leader").select("leader", "sid")
 
     pairs = buckets.df.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    pairs = pairs.union(members.df.where("sid <> lo").select("lo", "sid")).distinct()
+    pairs = pairs.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sketches = nodes.df.select("sid", "n", "s1", "s2")
     for end in "ab":
         pairs = pairs.join(sketches.select(*[F.col(c).alias(f"{end}{'' if c == 'sid' else '_' + c}") for c in sketches.columns]), end)
@@ -173,23 +199,17 @@ def near_duplicate_links(docs: DataFrame, *, text: str = "text", doc_id: str = "
 
     # members of one bucket that the stars left in different components
     roots = store(components(links.df), "roots")
-    placed = members.df.join(roots.side(), F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node")
-    mixed = store(placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select(F.col("key").alias("mixed")), "mixed")
+    rooted = lambda df: df.join(roots.side(), F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node")
+    mixed_keys = lambda df: df.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select(F.col("key").alias("mixed"), "c")
+    placed = rooted(members.df.select("key", "sid"))
+    mixed = store(mixed_keys(placed), "mixed")
     if not mixed.rows:
         return features, nodes, links.df
-    open_rows = store(placed.join(mixed.side(), F.col("key") == F.col("mixed"), "left_semi"), "open")
-    found = _meet(open_rows.df.where(F.col("c") <= COLD))
-    hot = open_rows.df.where(F.col("c") > COLD)
-    if hot.limit(1).count():
-        # at most DISTANCE - ERRORS differences remain for the other chunks, so a second one meets as the first did
-        chunk = lambda place: F.floor(place / SYMBOLS)
-        second = nodes.df.select(F.col("sid").alias("sid2"), F.posexplode("keys").alias("place2", "key2"))
-        split = hot.join(second, (F.col("sid") == F.col("sid2")) & (chunk(F.col("place")) != chunk(F.col("place2"))))
-        split = store(split.select(F.xxhash64("key", "key2").alias("key"), "sid", "n", "s1", "s2", "root"), "split")
-        size = split.df.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key", "c")
-        size = store(size, "split-buckets")
-        parts = split.df.join(size.side(), "key")
-        found = found.union(_meet(parts.where(F.col("c") <= COLD))).union(_in_blocks(parts.where(F.col("c") > COLD)))
+    open_sids = placed.join(mixed.side(), F.col("key") == F.col("mixed"), "left_semi").select("sid").distinct()
+    prefixes = store(rooted(_rarest(_sets_of(open_sids, rows, nodes.df))), "prefixes")
+    crowded = store(mixed_keys(prefixes.df), "mixed-prefixes")
+    meeting = prefixes.df.join(crowded.side(), F.col("key") == F.col("mixed")).drop("mixed").join(sketches, "sid")
+    found = _meet(meeting.where(F.col("c") <= COLD)).union(_in_blocks(meeting.where(F.col("c") > COLD)))
     more = store(found.distinct(), "pairs")
     if not more.rows:
         return features, nodes, links.df
