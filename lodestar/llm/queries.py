@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import langid, pii, toxicity
 from .line_frequency import line_frequency_filter
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -151,3 +151,8 @@ def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels.where(langid.fold(F.col("doc_id"), 5) != 0))
     held_out = F.coalesce(langid.fold(F.col("doc_id"), 5) == 0, F.lit(False))
     return toxicity.score(docs, model, keep=["doc_id"]).withColumn("held_out", held_out).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op10_semi_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False)
