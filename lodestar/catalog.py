@@ -26,3 +26,11 @@ def query(sql: str | None = None) -> Callable:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load() -> None:
+    """Import the modules of queries, once."""
+    from lodestar.plans import corpus  # noqa: F401
+
+
+load()

@@ -1 +1 @@
-
+"""Queries by subject; importing a module registers its queries."""
