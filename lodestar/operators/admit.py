@@ -49,12 +49,12 @@ def rank_score(rank: Column, depth: Column) -> Column:
 
 
 def weighted(weights: dict[str, Column | float]) -> Column:
-    """The weighted sum of the term columns, to 9 places."""
+    """The weighted sum of the term columns, to 12 places; the terms have 9."""
     total = F.lit(0.0)
     for name in TERMS:
         w = weights.get(name, 0.0)
         total = total + (w if isinstance(w, Column) else F.lit(float(w))) * F.col(name)
-    return F.round(total, 9)
+    return F.round(total, 12)
 
 
 def decide(df: DataFrame, weights: dict[str, Column | float] = WEIGHTS, threshold: Column | float = THRESHOLD, gate: str = "retracted") -> DataFrame:

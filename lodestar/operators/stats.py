@@ -16,7 +16,8 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Pearson over average ranks; null under three pairs or without variance."""
     ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_rx": average_rank(x, *by), "_ry": average_rank(y, *by)})
     good = (F.count(F.lit(1)) >= 3) & (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0)
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(good, F.round(F.corr("_rx", "_ry"), 9)).alias("rho"))
+    rho = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(good, F.round(rho, 9)).alias("rho"))
 
 
 def tertile_edges(df: DataFrame, value: str) -> DataFrame:
