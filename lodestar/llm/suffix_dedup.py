@@ -8,8 +8,11 @@ else, in the same document or another, in the input as given.
    windows can only repeat where the anchor's CORE-gram repeats. Anchors (one
    for each 120 bytes or so) are counted by gram with partial aggregation;
    those with a unique gram are done. Where all text that an anchor's windows
-   reach (its hull) occurs twice, all those windows repeat. What remains are
-   the edges of repeats, one representative of each different hull.
+   reach (its hull) occurs twice, all those windows repeat. What remains, one
+   representative of each different hull, is cut into blocks of up to BLOCK
+   starts by their distance to the anchor, and settled in the same way by what
+   all windows of a block share and reach; so only the very edges of repeats
+   remain.
 2. Suffix arrays. The remaining window starts of each incoming batch get a
    suffix array; it is merge-scanned against the existing levels for matches
    of SPAN bytes, and levels of equal size merge, so a family of n suffixes
@@ -41,10 +44,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrow as A
-from ._store import private, store
+from ._store import Stored, private, store
 
 SPAN, CORE = 400, 160
 GRAMS = SPAN - CORE + 1
+BLOCK = 16
 FAMILY_ROWS = 4_000_000
 SHARD_ROWS = 2_000_000
 _BYTE = A.byte_values(61)
@@ -63,11 +67,11 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Document, first start, number of starts, gram and hull of each anchor.
+    """Document, first start, number of starts, position, gram and hull of each anchor.
 
-    Starts are relative to their document; the windows of an anchor start at consecutive bytes.
+    Positions are relative to their document; the windows of an anchor start at consecutive bytes.
     """
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, A.U64),) * 2
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, A.U64),) * 2
     if len(data) < SPAN:
         return none
     values = _BYTE[data]
@@ -90,7 +94,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     hull = A.span_hashes(values, a, a + count - 1 + SPAN)
     with np.errstate(over="ignore"):
         hull = A.mix(hull + (p - a).astype(A.U64) * A.U64(0x9E3779B97F4A7C15))
-    return d, a - offsets[d], count, grams[p], hull
+    return d, a - offsets[d], count, p - offsets[d], grams[p], hull
+
+
+_RUN = "th long, n int, start int, count int, at int, weight int, gram long, hull long"
+_RUN_NAMES = ["th", "n", "start", "count", "at", "weight", "gram", "hull"]
+
+
+def _run_batch(batch: pa.RecordBatch, rows: np.ndarray, start, count, at, weight, gram, hull) -> pa.RecordBatch:
+    which = pa.array(rows)
+    columns = [batch.column(1).take(which), batch.column(2).take(which), *(pa.array(x.astype(np.int32)) for x in (start, count, at, weight)), pa.array(A.signed(gram)), pa.array(A.signed(hull))]
+    return pa.RecordBatch.from_arrays(columns, names=_RUN_NAMES)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,10 +112,44 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = A.buffers(batch.column(0))
         for i, j in A.blocks(offsets):
             at = offsets[i : j + 1]
-            doc, start, count, gram, hull = anchors(data[at[0] : at[-1]], at - at[0])
-            rows = pa.array(doc + i)
-            columns = [batch.column(1).take(rows), batch.column(2).take(rows), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(A.signed(gram)), pa.array(A.signed(hull))]
-            yield pa.RecordBatch.from_arrays(columns, names=["th", "n", "start", "count", "gram", "hull"])
+            doc, start, count, place, gram, hull = anchors(data[at[0] : at[-1]], at - at[0])
+            yield _run_batch(batch, doc + i, start, count, place, np.ones(len(doc)), gram, hull)
+
+
+def _open_windows(opened: list, at: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """Of the open runs of a block of texts: run, start and anchor of each window, by byte in the block, and whether each run is known."""
+    flat = [(at[d] + x["start"], x["count"], at[d] + x["at"], x["known"]) for d, runs in enumerate(opened) for x in runs]
+    if not flat:
+        return None
+    first, count, anchor, known = (np.array(x) for x in zip(*flat, strict=True))
+    run = np.repeat(np.arange(len(flat)), count)
+    start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+    return run, start, anchor[run], known.astype(bool)
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their open runs: the blocks of windows by distance to the anchor; a known run counts twice."""
+    for batch in batches:
+        data, offsets = A.buffers(batch.column(0))
+        opened = batch.column(3).to_pylist()
+        for i, j in A.blocks(offsets):
+            at = offsets[i : j + 1] - offsets[i]
+            if (found := _open_windows(opened[i:j], at)) is None:
+                continue
+            run, start, anchor, known = found
+            part = (anchor - start) // BLOCK
+            new = np.ones(len(run), bool)
+            new[1:] = (run[1:] != run[:-1]) | (part[1:] != part[:-1])
+            head = np.flatnonzero(new)
+            count = np.diff(np.append(head, len(run)))
+            a, p, k = start[head], anchor[head], part[head]
+            values = _BYTE[data[offsets[i] : offsets[j]]]
+            inner = p - BLOCK * k  # every window of a whole block holds these bytes
+            with np.errstate(over="ignore"):
+                gram = A.mix(A.span_hashes(values, inner, inner - BLOCK + 1 + SPAN) + k.astype(A.U64) * A.U64(0x9E3779B97F4A7C15))
+                hull = A.mix(A.span_hashes(values, a, a + count - 1 + SPAN) + (p - a).astype(A.U64) * A.U64(0x9E3779B97F4A7C15))
+            doc = np.searchsorted(at, a, side="right") - 1
+            yield _run_batch(batch, doc + i, a - at[doc], count, p - at[doc], 1 + known[run[head]], gram, hull)
 
 
 class SuffixFamily:
@@ -157,7 +205,7 @@ class SuffixFamily:
         return tuple(np.concatenate(x) for x in zip(*self.levels, strict=True)) if self.levels else (np.zeros(0, A.U64),) * 2 + (np.zeros(0, np.int64), np.zeros(0, bool))
 
 
-_EDGE = "th long, n long, a int, b int, name long, check long, known boolean"
+_EDGE = "th long, n int, a int, b int, name long, check long, known boolean"
 _EDGE_NAMES = ["th", "n", "a", "b", "name", "check", "known"]
 
 
@@ -179,7 +227,7 @@ def _own_family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         doc, start = np.concatenate(docs), np.concatenate(starts)
-        hash_, size = np.array(th, np.int64), np.array(n, np.int64)
+        hash_, size = np.array(th, np.int64), np.array(n, np.int32)
         hit = np.concatenate(found)
         d, a, b = _ranges(doc[hit], start[hit])
         null = pa.nulls(len(d), pa.int64())
@@ -197,12 +245,9 @@ def _own_family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in A.blocks(offsets):
             at = offsets[i : j + 1] - offsets[i]
             block = data[offsets[i] : offsets[j]]
-            first = np.array([at[d] + x["start"] for d, e in enumerate(opened[i:j]) for x in e], np.int64)
-            count = np.array([x["count"] for e in opened[i:j] for x in e], np.int64)
-            if not len(first):
+            if (got := _open_windows(opened[i:j], at)) is None:
                 continue
-            sure = np.repeat(np.array([x["known"] for e in opened[i:j] for x in e], bool), count)
-            start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            run, start, _, known = got
             doc = np.searchsorted(at, start, side="right") - 1
             names = A.span_hashes(_BYTE[block], start, start + SPAN)
             checks = A.span_hashes(_SECOND[block], start, start + SPAN)
@@ -210,7 +255,7 @@ def _own_family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts.append(start - at[doc])
             th += hashes[i:j]
             n += sizes[i:j]
-            found.append(family.add(names, checks, np.arange(total, total + len(start)), sure))
+            found.append(family.add(names, checks, np.arange(total, total + len(start)), known[run]))
             total += len(start)
             if total >= FAMILY_ROWS:
                 yield from flush()
@@ -238,31 +283,44 @@ def _shard_family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         new[1:] = (doc[1:] != doc[:-1]) | (n[hit][1:] != n[hit][:-1]) | (a[hit][1:] > a[hit][:-1] + 1)
         head = np.flatnonzero(new)
         last = np.append(head[1:], len(hit)) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(th[hit[head]]), pa.array(n[hit[head]]), pa.array(a[hit[head]]), pa.array((a[hit[last]] + SPAN).astype(np.int32))] if len(hit) else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())], names=["th", "n", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(th[hit[head]]), pa.array(n[hit[head]]), pa.array(a[hit[head]]), pa.array((a[hit[last]] + SPAN).astype(np.int32))] if len(hit) else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32())], names=["th", "n", "a", "b"])
 
 
-def repeated_ranges(texts: DataFrame) -> DataFrame:
-    """th, n and spans (unmerged byte ranges) of every text, given as rows (t, th, n), that holds a repeated window."""
-    found = store(texts.where(F.col("n") >= SPAN).mapInArrow(_anchor_rows, "th long, n long, start int, count int, gram long, hull long"), "anchors")
-    grams = found.df.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("hull").alias("h1"), F.max("hull").alias("h2")).where("c > 1")
+def _settle(runs: DataFrame, name: str) -> tuple[Stored, Stored]:
+    """Byte ranges of the runs of windows that repeat as a whole; and what stays open, a list of runs per text."""
+    found = store(runs, name)
+    grams = found.df.groupBy("gram").agg(F.sum("weight").alias("c"), F.min("hull").alias("h1"), F.max("hull").alias("h2")).where("c > 1")
     grams = store(grams.select(F.col("gram").alias("g"), (F.col("h1") != F.col("h2")).alias("mixed")), "shared-grams")
-    shared = store(found.df.join(grams.side(), F.col("gram") == F.col("g")).drop("g"), "shared-anchors")
+    shared = store(found.df.join(grams.side(), F.col("gram") == F.col("g")).drop("g"), "shared-runs")
+    found.drop()
     whole = lambda df: df.select("th", "n", F.col("start").alias("a"), (F.col("start") + F.col("count") + F.lit(SPAN - 1)).cast("int").alias("b"))
-    # anchors of one gram with different hulls: hulls that occur twice are settled, one of each is kept as a witness
-    hulls = shared.df.where("mixed").groupBy("gram", "hull").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("th", "n", "start", "count")).alias("one"))
+    # runs of one gram with different hulls: hulls that occur twice are settled, one of each is kept as a witness
+    hulls = shared.df.where("mixed").groupBy("gram", "hull").agg(F.sum("weight").alias("c"), F.min(F.struct("th", "n", "start", "count", "at")).alias("one"))
     hulls = store(hulls, "hulls")
     settled = store(hulls.df.where("c > 1").select(F.col("gram").alias("g"), F.col("hull").alias("h")), "settled")
     marks = whole(shared.df.where("not mixed")).union(whole(shared.df.where("mixed").join(settled.side(), (F.col("gram") == F.col("g")) & (F.col("hull") == F.col("h")), "left_semi")))
-    opened = hulls.df.select(F.col("one.th").alias("th2"), F.col("one.n").alias("n2"), F.struct("one.start", "one.count", (F.col("c") > 1).alias("known")).alias("w"))
-    opened = store(opened.groupBy("th2", "n2").agg(F.sort_array(F.collect_set("w")).alias("open")), "open-windows")
+    marks = store(marks.distinct(), "marks")  # copies of a text mark the same ranges
+    opened = hulls.df.select(F.col("one.th").alias("th2"), F.col("one.n").alias("n2"), F.struct("one.start", "one.count", "one.at", (F.col("c") > 1).alias("known")).alias("w"))
+    opened = store(opened.groupBy("th2", "n2").agg(F.sort_array(F.collect_set("w")).alias("open")), "open-runs")
+    for done in (shared, hulls, settled, grams):
+        done.drop()
+    return marks, opened
+
+
+def repeated_ranges(texts: DataFrame) -> DataFrame:
+    """th, n and spans (unmerged byte ranges) of every text, given as rows (t, th, n), that holds a repeated window."""
+    reopen = lambda opened: texts.join(opened.side(), (F.col("th") == F.col("th2")) & (F.col("n") == F.col("n2"))).select("t", "th", "n", "open")
+    first, opened = _settle(texts.where(F.col("n") >= SPAN).mapInArrow(_anchor_rows, _RUN), "anchors")
+    marks = first.df
     if opened.rows:
-        # one copy of a text is enough here: copies have the same ranges
-        with_open = texts.join(opened.side(), (F.col("th") == F.col("th2")) & (F.col("n") == F.col("n2"))).select("t", "th", "n", "open")
-        own = store(with_open.mapInArrow(_own_family, _EDGE), "suffixes")
-        names = own.df.where("name is not null").select("th", "n", "a", "name", "check", "known")
-        shards = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.rows // SHARD_ROWS))
-        between = names.repartition(shards, "name").mapInArrow(_shard_family, "th long, n long, a int, b int")
-        marks = marks.union(own.df.where("name is null").select("th", "n", "a", "b")).union(between)
+        second, edges = _settle(reopen(opened).mapInArrow(_block_rows, _RUN), "blocks")
+        marks = marks.union(second.df)
+        if edges.rows:
+            own = store(reopen(edges).mapInArrow(_own_family, _EDGE), "suffixes")
+            names = own.df.where("name is not null").select("th", "n", "a", "name", "check", "known")
+            shards = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.rows // SHARD_ROWS))
+            between = names.repartition(shards, "name").mapInArrow(_shard_family, "th long, n int, a int, b int")
+            marks = marks.union(own.df.where("name is null").select("th", "n", "a", "b")).union(between)
     distinct = marks.groupBy("th", "n", "a", "b").agg(F.count(F.lit(1)).alias("c"))
     return distinct.groupBy("th", "n").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
@@ -309,11 +367,11 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep: list[str] | Non
     p = private(docs, *added)
     names = [f"{p}{i}" for i in range(len(keep))]
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
-    rows = rows.withColumns({"th": F.xxhash64("t"), "n": F.octet_length("t").cast("long")})
+    rows = rows.withColumns({"th": F.xxhash64("t"), "n": F.octet_length("t")})
     ranges = store(repeated_ranges(rows.select("t", "th", "n")).select(F.col("th").alias("th2"), F.col("n").alias("n2"), "spans"), "repeats")
     joined = rows.join(ranges.side(), (F.col("th") == F.col("th2")) & (F.col("n") == F.col("n2")), "left")
     fields = "".join(f"`{n}` {docs.schema[c].dataType.simpleString()}, " for c, n in zip(keep, names, strict=True))
     out = joined.select(F.col("t").cast("binary").alias("t"), "spans", *names, F.col("n").alias(f"{p}bytes")).mapInArrow(
-        _cut([*names, f"{p}bytes"], with_kept), f"{fields}`{p}bytes` long, n_removed long, n_spans long, kept_sha256 string{', kept binary' if with_kept else ''}"
+        _cut([*names, f"{p}bytes"], with_kept), f"{fields}`{p}bytes` int, n_removed long, n_spans long, kept_sha256 string{', kept binary' if with_kept else ''}"
     )
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col(f"{p}bytes").alias("n_bytes"), *added[1:])
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col(f"{p}bytes").cast("long").alias("n_bytes"), *added[1:])
