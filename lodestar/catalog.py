@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules of queries, once."""
-    from lodestar.plans import answers, corpus, evidence, overlays, vectors  # noqa: F401
+    from lodestar.plans import answers, corpus, evidence, labels, overlays, vectors  # noqa: F401
 
 
 load()
