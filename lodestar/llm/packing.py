@@ -9,8 +9,8 @@
    exactly is consumed as often as the availability counts allow. What is left
    goes best-fit decreasing, many equal bins at a time.
 3. Every piece gets a rank among the pieces of its length and finds its place
-   in the plan by that rank. Ranks are counted within salted groups whose
-   number follows the count of pieces, so a length that a third of all
+   in the plan by that rank. Ranks are counted within salted groups of at
+   most a GROUPS-th of all pieces, so a length that a third of all
    documents share is never ranked in one task.
 
 Defined cases: a null text is empty and has the end id only; repeated rows are
@@ -37,7 +37,7 @@ from ._store import private, store
 
 LENGTH, END_ID = 2048, 0
 CACHE_WORDS = 400_000
-GROUP_ROWS = 200_000
+GROUPS, LEAST_GROUP = 10_000, 500
 LONG_TEXT = 1 << 20
 
 
@@ -287,19 +287,19 @@ def pack(pieces: DataFrame, *, length: int = LENGTH) -> DataFrame:
     names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     p = private(pieces, "rank")
     stored = store(pieces.select(*names), "pieces")
-    salts = max(1, -(-stored.rows // GROUP_ROWS))
-    keyed = stored.df.withColumn(f"{p}salt", F.pmod(F.xxhash64(*names), F.lit(salts)))
-    groups = store(keyed.groupBy("length", f"{p}salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    histogram = groups.df.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most `length` rows
-    plan = make_plan({r["length"]: r["n"] for r in histogram}, length)
+    histogram = {r["length"]: r["n"] for r in stored.df.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `length` rows
+    plan = make_plan(histogram, length)
     if not plan.entries:
         return stored.df.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
+    group_rows = max(LEAST_GROUP, stored.rows // GROUPS)
+    shares = pieces.sparkSession.createDataFrame([(x, -(-n // group_rows)) for x, n in histogram.items()], f"`{p}length` int, `{p}salts` int")
+    keyed = stored.df.join(F.broadcast(shares), F.col("length") == F.col(f"{p}length")).withColumn(f"{p}salt", F.pmod(F.xxhash64(*names), F.col(f"{p}salts")))
     before = Window.partitionBy("length").orderBy(f"{p}salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.df.select(F.col("length").alias(f"{p}l"), F.col(f"{p}salt").alias(f"{p}s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{p}before"))
+    groups = keyed.groupBy("length", f"{p}salt").agg(F.count(F.lit(1)).alias("n"))  # at most GROUPS + `length` rows
+    starts = F.broadcast(groups.select(F.col("length").alias(f"{p}l"), F.col(f"{p}salt").alias(f"{p}s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{p}before")))
     within = Window.partitionBy("length", f"{p}salt").orderBy(*names)
     ranked = keyed.withColumn(f"{p}r", F.row_number().over(within) - 1)
-    side = F.broadcast(starts) if groups.small() else starts
-    ranked = ranked.join(side, (F.col("length") == F.col(f"{p}l")) & (F.col(f"{p}salt") == F.col(f"{p}s"))).select(*names, (F.col(f"{p}before") + F.col(f"{p}r")).cast("long").alias("rank"))
+    ranked = ranked.join(starts, (F.col("length") == F.col(f"{p}l")) & (F.col(f"{p}salt") == F.col(f"{p}s"))).select(*names, (F.col(f"{p}before") + F.col(f"{p}r")).cast("long").alias("rank"))
     fields = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in names)
     return ranked.mapInArrow(_placer(np.array(plan.entries, np.int64), names), f"{fields}, sequence_id long, offset long")
 
