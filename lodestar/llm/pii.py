@@ -7,12 +7,12 @@ shape, digits, checksum, prefix, variety of characters and the words before it.
 One dynamic program over a line chooses boundaries and types together. The
 weights are learnt here, by the gradient of the log-likelihood, from lines
 that a seeded generator writes: entities of each type among invented words,
-dates, amounts and versions. Entities found where no base span lies are added;
-`secret` (keys, tokens, passwords) is a type of the field alone.
+dates, amounts and versions. Entities found where no base span lies, or that hold
+such a span whole (digits of a key may pass as a card), are added; `secret` (keys, tokens, passwords) is a type of the field alone.
 
 Defined cases: null and empty texts have no spans; base patterns run in time
 linear in the text, whatever it holds; positions are code points; base spans of
-different kinds may overlap, added ones overlap nothing.
+different kinds may overlap, an added one overlaps only what it holds.
 """
 
 from __future__ import annotations
@@ -287,7 +287,8 @@ def find_spans(text: str, field: SemiMarkov) -> tuple[list[tuple[str, int, int]]
         at = end
         for a, b in _islands(text, begin, end):
             for kind, s, e in field.best(Line(text[a:b])):
-                if not any(x < b_ and a_ < y for a_, b_ in taken for x, y in ((a + s, a + e),)):
+                over = [t for t in taken if t[0] < a + e and a + s < t[1]]
+                if all(a + s <= x and y <= a + e and (x, y) != (a + s, a + e) for x, y in over):
                     more.append((kind, a + s, a + e))
     every = sorted(base + more, key=lambda x: (KINDS.index(x[0]), x[1]))
     return base, every
