@@ -1,5 +1,5 @@
 import pytest
-from conftest import same_rows
+from compare_sql import same_rows
 
 from lodestar import catalog
 
