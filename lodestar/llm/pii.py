@@ -8,7 +8,8 @@ One dynamic program over a line chooses boundaries and types together. The
 weights are learnt here, by the gradient of the log-likelihood, from lines
 that a seeded generator writes: entities of each type among invented words,
 dates, amounts and versions. Entities found where no base span lies, or that hold
-such a span whole (digits of a key may pass as a card), are added; `secret` (keys, tokens, passwords) is a type of the field alone.
+such a span whole (digits of a key may pass as a card), are added; `secret`
+(keys, tokens, passwords) is a type of the field alone.
 
 Defined cases: null and empty texts have no spans; base patterns run in time
 linear in the text, whatever it holds; positions are code points; base spans of
