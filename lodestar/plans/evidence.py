@@ -54,7 +54,7 @@ def currency_gamma(spark: SparkSession, d: str) -> DataFrame:
     return candidates(spark, d).select("event_id", "currency", "state")
 
 
-@query(f"with {CAND} select event_id, authority, basis from cand")
+@query(f"with {CAND} select event_id, authority::double as authority, basis from cand")
 def authority_tau(spark: SparkSession, d: str) -> DataFrame:
     return candidates(spark, d).select("event_id", "authority", "basis")
 
