@@ -12,9 +12,19 @@ from pyspark.sql import functions as F
 #: A table is broadcast only up to this size on disk and this number of rows.
 BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1_500_000
 
+#: Rows in an Arrow batch of texts: a worker holds one batch at a time, so its memory follows this and the longest text.
+TEXT_ROWS = 1000
+
 _own: dict[str, str] = {}
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to TEXT_ROWS rows, if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; only a local session without one gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrow as A
-from ._store import Stored, private, store
+from ._store import Stored, bound_batches, private, store
 
 SPAN, CORE = 400, 160
 GRAMS = SPAN - CORE + 1
@@ -308,7 +308,7 @@ def _settle(runs: DataFrame, name: str) -> tuple[Stored, Stored]:
 
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
-    """th, n and spans (unmerged byte ranges) of every text, given as rows (t, th, n), that holds a repeated window."""
+    """th, n and spans (byte ranges to remove) of every text, given as rows (t, th, n), that holds a repeated window."""
     reopen = lambda opened: texts.join(opened.side(), (F.col("th") == F.col("th2")) & (F.col("n") == F.col("n2"))).select("t", "th", "n", "open")
     first, opened = _settle(texts.where(F.col("n") >= SPAN).mapInArrow(_anchor_rows, _RUN), "anchors")
     marks = first.df
@@ -322,7 +322,26 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
             between = names.repartition(shards, "name").mapInArrow(_shard_family, "th long, n int, a int, b int")
             marks = marks.union(own.df.where("name is null").select("th", "n", "a", "b")).union(between)
     distinct = marks.groupBy("th", "n", "a", "b").agg(F.count(F.lit(1)).alias("c"))
-    return distinct.groupBy("th", "n").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    spans = distinct.groupBy("th", "n").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    return spans.mapInArrow(_merge, "th long, n int, spans array<struct<a:int,b:int>>")
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted ranges of each row, those that touch joined into one."""
+    for batch in batches:
+        spans = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
+        ends = spans.offsets.to_numpy().astype(np.int64)
+        flat = spans.values
+        row = np.searchsorted(ends, np.arange(ends[0], ends[-1]), side="right") - 1
+        a, b = (flat.field(k).to_numpy()[ends[0] : ends[-1]].astype(np.int64) for k in range(2))
+        lift = row << 33  # keeps rows apart in one running maximum
+        reach = np.maximum.accumulate(b + lift) if len(b) else b
+        new = np.ones(len(a), bool)
+        new[1:] = (a + lift)[1:] > reach[:-1]
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(a)) - 1
+        merged = pa.StructArray.from_arrays([pa.array(a[head].astype(np.int32)), pa.array((reach[last] - lift[last]).astype(np.int32))] if len(a) else [pa.array([], pa.int32())] * 2, ["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), A.lists(merged, np.searchsorted(row[head], np.arange(len(batch) + 1)))], names=["th", "n", "spans"])
 
 
 def _cut(keep: list[str], with_kept: bool):
@@ -362,6 +381,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep: list[str] | Non
 
     Ranges are cut by byte and may split a character, so `kept` is binary. Clashing names are replaced.
     """
+    bound_batches(docs.sparkSession)
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else [])]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
     p = private(docs, *added)
