@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import private
+from ._store import bound_batches, private
 
 BUCKETS = 1 << 16
 ROWS_PER_LANG = 8000
@@ -127,6 +127,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", rows_per_lang: int = ROWS_PER_LANG) -> Model:
     """Learn from a hash-drawn sample of about rows_per_lang rows of each language, or all rows if there are fewer."""
+    bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     draw: Column = F.lit(False)
@@ -147,6 +148,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", rows_per
 
 def detect(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns of every row (default: all), lang_pred and score; clashing names are replaced."""
+    bound_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
     p = private(docs, "lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrow as A
-from ._store import private, store
+from ._store import bound_batches, private, store
 
 MIN_DOCS, SHARE, MIN_LEFT = 10, 0.005, 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -100,6 +100,7 @@ def _kernel(keep: list[str]):
 
 def line_features(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The kept columns, the base counts, and each line's hash (null without a word) and words, in order."""
+    bound_batches(docs.sparkSession)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(F.col(text).cast("string"), *keep).mapInArrow(_kernel(keep), f"{fields}{', ' if fields else ''}{FEATURES}")
 

@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from ._store import private, store
+from ._store import bound_batches, private, store
 
 LENGTH, END_ID = 2048, 0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 GROUPS, LEAST_GROUP = 10_000, 500
 LONG_TEXT = 1 << 20
 
@@ -129,6 +129,7 @@ def _pieces(path: str, length: int, end_id: int, with_ids: bool):
 
 def cut_into_pieces(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: the id column, piece, start, length, ids_crc32 and, with with_ids, the ids."""
+    bound_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     key = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(text).cast("string").alias("t"), F.col(doc_id).alias("key"))

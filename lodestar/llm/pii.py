@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import private
+from ._store import bound_batches, private
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 SEGMENT, SPAN_CHARS, NEAR = 6, 128, 3
@@ -340,6 +340,7 @@ def detect(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None
 
     Clashing names are replaced; a null text stays null.
     """
+    bound_batches(docs.sparkSession)
     counts = ["n_email", "n_ip", "n_card", "n_phone"]
     added = [*counts, "base_sha256", "spans", *([text] if with_text else [])]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in [x.lower() for x in (*added, text)]]

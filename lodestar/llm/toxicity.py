@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import private
+from ._store import bound_batches, private
 
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 1000, 2000, 100_000
 WINDOW, GRAM, RATIO = 8, 5, 20
@@ -177,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns of every row (default: all), score and predicted; clashing names are replaced."""
+    bound_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("score", "predicted")]
     p = private(docs, "score", "predicted")
     names = [f"{p}{i}" for i in range(len(keep))]

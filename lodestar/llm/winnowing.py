@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrow as A
-from ._store import private, store
+from ._store import bound_batches, private, store
 
 SPAN, K = 13, 5
 WINDOW = SPAN - K + 1
@@ -122,6 +122,7 @@ def _kernel(index, keep: list[str], merge: bool):
         own: Index = index.value
         for batch in batches:
             data, offsets = A.buffers(batch.column(0))
+            n_words, n_hit, starts, ends, per_doc, named = [], [], [], [], [], []
             for i, j in A.blocks(offsets):
                 at = offsets[i : j + 1]
                 words, first = words_of(data[at[0] : at[-1]], at - at[0])
@@ -142,12 +143,16 @@ def _kernel(index, keep: list[str], merge: bool):
                 a, b = A.bounds(hit, first)
                 per = A.per_document(a, first)
                 mine = np.repeat(first[:-1], np.diff(per))
-                spans = pa.StructArray.from_arrays([pa.array((a - mine).astype(np.int64)), pa.array((b - mine).astype(np.int64))], ["start", "end"])
                 total = np.concatenate([[0], np.cumsum(hit)])
-                skip = 3 if merge else 1
-                columns = [batch.column(skip + k).slice(i, j - i) for k in range(len(keep))]
-                columns += [pa.array(np.diff(first).astype(np.int64)), pa.array(np.diff(total[first]).astype(np.int64)), A.lists(spans, per), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_words", "n_hit", "hits", "items"])
+                for held, x in ((n_words, np.diff(first)), (n_hit, np.diff(total[first])), (starts, a - mine), (ends, b - mine), (per_doc, np.diff(per))):
+                    held.append(x.astype(np.int64))
+                named += [sorted(x) for x in items]
+            # one batch out for each batch in: carried columns pass as they are
+            joined = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+            spans = pa.StructArray.from_arrays([pa.array(joined(starts)), pa.array(joined(ends))], ["start", "end"])
+            carried = batch.columns[3 if merge else 1 :]
+            columns = [*carried, pa.array(joined(n_words)), pa.array(joined(n_hit)), A.lists(spans, np.concatenate([[0], np.cumsum(joined(per_doc))])), pa.array(named, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_words", "n_hit", "hits", "items"])
 
     return run
 
@@ -157,6 +162,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
     keep: columns of docs to carry (default: all); of these, ones named like an added column are left out.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     added = ["n_words", "n_hit", "hits", "items"]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
@@ -184,7 +190,9 @@ def contaminated(n_hit, n_words):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, all columns unchanged, without the contaminated ones."""
-    p = private(docs)
-    marked = docs.select(F.struct(*docs.columns).alias(f"{p}row"), F.col(text).alias(f"{p}t"))
-    found = find_overlaps(marked, benchmark, text=f"{p}t", item_id=item_id, item_text=item_text, keep=[f"{p}row"])
-    return found.where(~contaminated(F.col("n_hit"), F.col("n_words"))).select(f"{p}row.*")
+    p = private(docs, "n_words", "n_hit", "hits", "items")
+    named = docs.select(*[F.col(c).alias(f"{p}c{i}") for i, c in enumerate(docs.columns)])
+    at = [c.lower() for c in docs.columns].index(text.lower())
+    found = find_overlaps(named, benchmark, text=f"{p}c{at}", item_id=item_id, item_text=item_text)
+    clean = found.where(~contaminated(F.col("n_hit"), F.col("n_words")))
+    return clean.select(*[F.col(f"{p}c{i}").alias(c) for i, c in enumerate(docs.columns)])
