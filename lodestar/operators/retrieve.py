@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -77,25 +78,32 @@ def knn_pairs(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return corpus.crossJoin(F.broadcast(queries)).withColumn("score", dot(F.col("query"), F.col("embedding"))).drop("query", "embedding")
 
 
+def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the query side, `block` at a time; one empty block if there are none."""
+    rows = ((r[0], r[1]) for r in queries.select("query_id", "query").toLocalIterator())
+    part = list(islice(rows, block))
+    while True:
+        yield np.array([i for i, _ in part]), np.array([v for _, v in part], np.float64)
+        if not (part := list(islice(rows, block))):
+            return
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, group: str | None = None, block: int = 2048) -> DataFrame:
     """Exact top-k of each query, within each group of the corpus if one is named.
 
-    queries (query_id, query) is the stated query set; it is broadcast in blocks
-    of at most `block` vectors, each scanning the corpus once. Every Arrow batch
-    is scored by one matrix product and passes only its own best k on, so what
-    is shuffled does not follow the corpus but its number of batches.
+    queries (query_id, query) may have any number of rows; it is read a partition
+    at a time and broadcast in blocks of at most `block` vectors, each scanning
+    the corpus once. Every Arrow batch is scored by one matrix product and passes
+    only its own best k on, so what is shuffled does not follow the corpus but
+    its number of batches.
     """
-    rows = queries.select("query_id", "query").toArrow() if _few(queries) else None
-    if rows is None:
-        raise ValueError("more query vectors than the broadcast bound; split the query set")
     groups = [group] if group else []
+    context = queries.sparkSession.sparkContext
     parts = []
-    for at in range(0, max(1, rows.num_rows), block):
-        part = rows.slice(at, block)
-        ids = part.column("query_id").to_numpy()
-        matrix = np.array(part.column("query").to_pylist(), np.float64).reshape(len(ids), -1)
+    for sent in map(context.broadcast, _blocks(queries, block)):
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, matrix = sent.value
             for batch in batches:
                 if not batch.num_rows or not len(ids):
                     continue

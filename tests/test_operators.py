@@ -103,6 +103,21 @@ def test_knn_kernel_equals_its_specification_and_k_beyond_n(spark):
         assert fast == sorted(map(tuple, slow.select("query_id", "id", "score", "rank").collect()))
 
 
+def test_knn_reads_any_number_of_queries_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "QUERY_ROWS", 2)
+    rows = spark.createDataFrame([(i, [float(i % 3), float(i % 5)]) for i in range(9)], "id long, embedding array<float>")
+    queries = rows.selectExpr("id as query_id", "embedding as query")
+    fast = sorted(map(tuple, retrieve.knn(queries, rows, 3, block=4).select("query_id", "id", "score", "rank").collect()))
+    slow = retrieve.top(retrieve.knn_pairs(queries, rows), ["query_id"], [F.desc("score"), F.col("id")], 3)
+    assert len(fast) == 27 and fast == sorted(map(tuple, slow.select("query_id", "id", "score", "rank").collect()))
+    assert retrieve.knn(queries.where("query_id < 0"), rows, 3).count() == 0
+
+
+def test_whole_searches_ask_every_fiftieth_vector(spark, sf):
+    asked = {r["query_id"] for r in QUERIES["knn_topk_whole"](spark, sf).collect()}
+    assert asked == {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
+
+
 def test_top_k_is_cut_before_the_shuffle(spark):
     rows = spark.range(100).selectExpr("id", "id % 5 as g")
     assert "WindowGroupLimit" in plan(retrieve.top(rows, ["g"], [F.col("id")], 2))
