@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import dates
+from lodestar.operators import retrieve
 
 # Default weights, thresholds and the authority of tiers and source categories.
 WEIGHTS = {"support": 0.50, "currency": 0.30, "rerank": 0.0, "authority": 0.20}
@@ -17,13 +18,31 @@ TERMS = ("support", "currency", "rerank", "authority")
 
 def support(q_terms: DataFrame, d_terms: DataFrame, frequency: DataFrame, pairs: DataFrame, qid: str, did: str, corpus_size: Column) -> DataFrame:
     """Half coverage, half share of inverse-frequency weight, for given (question, passage) pairs; sums are rounded to 9 places."""
-    idf = F.ln((corpus_size + 1.0) / (F.col("df") + 1.0)) + 1.0
-    weighted = q_terms.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("w", idf)
-    totals = weighted.groupBy(qid).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total"))
+    weighted, totals = _weights(q_terms, frequency, qid, corpus_size)
     hits = pairs.join(weighted, qid).join(d_terms, [did, "term"]).groupBy(qid, did).agg(F.count(F.lit(1)).alias("m"), F.sum("w").alias("hit"))
     scored = pairs.join(totals, qid, "left").join(hits, [qid, did], "left").na.fill(0, ["m", "hit"])
+    return scored.select(qid, did, F.col("m").cast("long").alias("matched"), _sigma().alias("support"))
+
+
+def support_of_matches(q_terms: DataFrame, d_terms: DataFrame, frequency: DataFrame, qid: str, did: str, corpus_size: Column) -> DataFrame:
+    """M01 of every pair with a common term, in one pass over the passages' terms; any other pair has support 0."""
+    weighted, totals = _weights(q_terms, frequency, qid, corpus_size)
+    asked = weighted.join(totals, qid).select(qid, "term", "w", "n", "total")
+    hits = d_terms.join(F.broadcast(asked) if retrieve._few(q_terms) else asked, "term").groupBy(qid, did)
+    scored = hits.agg(F.count(F.lit(1)).alias("m"), F.sum("w").alias("hit"), F.first("n").alias("n"), F.first("total").alias("total"))
+    return scored.select(qid, did, F.col("m").cast("long").alias("matched"), _sigma().alias("support"))
+
+
+def _weights(q_terms: DataFrame, frequency: DataFrame, qid: str, corpus_size: Column) -> tuple[DataFrame, DataFrame]:
+    """Each question's terms with their weight, and each question's number of terms and total."""
+    idf = F.ln((corpus_size + 1.0) / (F.col("df") + 1.0)) + 1.0
+    weighted = q_terms.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("w", idf)
+    return weighted, weighted.groupBy(qid).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total"))
+
+
+def _sigma() -> Column:
     sigma = F.when(F.col("n") > 0, 0.5 * F.col("m") / F.col("n") + 0.5 * F.col("hit") / F.col("total")).otherwise(0.0)
-    return scored.select(qid, did, F.col("m").cast("long").alias("matched"), F.round(F.least(F.lit(1.0), sigma), 9).alias("support"))
+    return F.round(F.least(F.lit(1.0), sigma), 9)
 
 
 def currency(retracted: Column, time_sensitive: Column, published: Column, superseded: Column, as_of: float, half_life: Column | float = HALF_LIFE, discount: float = SUPERSEDED) -> tuple[Column, Column]:

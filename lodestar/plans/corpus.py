@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.catalog import query, table
+from lodestar.catalog import ORACLE_SQL, query, table
 from lodestar.functions import text as X
 from lodestar.operators import layers, retrieve
 
@@ -188,13 +188,22 @@ h as (select item_id, chunk_id, count(*) as m, sum(w) as hit from wq join c usin
 select item_id, chunk_id, m::bigint as matched, round(least(1.0, 0.5 * m / tot.n + 0.5 * hit / total), 9) as support from h join tot using (item_id) where m >= 2""")
 def support_sigma(spark: SparkSession, d: str) -> DataFrame:
     """M01 for every question and chunk that share at least two terms."""
+    return _support(spark, d, 2)
+
+
+@query(ORACLE_SQL["support_sigma"].replace(" where m >= 2", ""))
+def support_sigma_whole(spark: SparkSession, d: str) -> DataFrame:
+    """M01 for every question and chunk that share a term; all other pairs have support 0."""
+    return _support(spark, d, 1)
+
+
+def _support(spark: SparkSession, d: str, least: int) -> DataFrame:
     from lodestar.operators import admit
 
     q, c = _q_terms(spark, d), _c_terms(spark, d)
     size = _unique_chunks(spark, d).agg(F.count(F.lit(1)).alias("corpus"))
     frequency = retrieve.document_frequency(c, q.select("term").distinct()).crossJoin(F.broadcast(size))
-    pairs = c.join(F.broadcast(q) if retrieve._few(q) else q, "term").groupBy("item_id", "chunk_id").agg(F.count(F.lit(1)).alias("_m")).where("_m >= 2").drop("_m")
-    return admit.support(q, c, frequency, pairs, "item_id", "chunk_id", F.col("corpus")).select("item_id", "chunk_id", "matched", "support")
+    return admit.support_of_matches(q, c, frequency, "item_id", "chunk_id", F.col("corpus")).where(F.col("matched") >= least)
 
 
 @query("select item_id, 'Question: ' || coalesce(trim(text), '') || chr(10) || 'Answer:' as prompt, substr(sha256('Question: {question}' || chr(10) || 'Answer:'), 1, 12) as fingerprint from benchmark")

@@ -31,3 +31,9 @@ def test_entry_registers_every_query():
     names = entry.queries()
     assert set(catalog.QUERIES) <= set(names)
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_whole_support_keeps_pairs_with_one_common_term(spark, sf):
+    whole = catalog.QUERIES["support_sigma_whole"](spark, sf)
+    assert whole.where("matched = 1 and support > 0").count() > 0
+    assert sorted(map(tuple, whole.where("matched >= 2").collect())) == sorted(map(tuple, catalog.QUERIES["support_sigma"](spark, sf).collect()))
