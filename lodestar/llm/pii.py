@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field for what they miss.
 
 The patterns give the base spans. The field looks at lines that hold a digit,
-`@` or `=`; their tokens are joined into segments of at most SEGMENT tokens and
-SPAN_CHARS characters, and each segment is scored as a whole for each type: its
+`@` or `=`; their tokens, of any length, are joined into segments of at most
+SEGMENT tokens, and each segment is scored as a whole for each type: its
 shape, digits, checksum, prefix, variety of characters and the words before it.
 One dynamic program over a line chooses boundaries and types together. The
 weights are learnt here, by the gradient of the log-likelihood, from lines
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._store import bound_batches, private
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-SEGMENT, SPAN_CHARS, NEAR = 6, 128, 3
+SEGMENT, NEAR, CACHED = 6, 3, 128
 EPOCHS, LINES, RATE = 4, 400, 0.3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -143,8 +143,6 @@ class Line:
             before = text[self.tokens[max(0, i - 2)][0] : a]
             for j in range(i, min(i + SEGMENT, len(self.tokens))):
                 b = self.tokens[j][1]
-                if b - a > SPAN_CHARS:
-                    break
                 if not trigger[j]:
                     continue
                 raw = text[a:b]
@@ -152,7 +150,8 @@ class Line:
                 if not inner:
                     continue
                 start = a + raw.index(inner)
-                self.by_end.setdefault(j + 1, []).append((i, start, start + len(inner), _features(inner, before[-32:])))
+                features = _features if len(inner) <= CACHED else _features.__wrapped__  # long texts would fill the cache
+                self.by_end.setdefault(j + 1, []).append((i, start, start + len(inner), features(inner, before[-32:])))
 
 
 class SemiMarkov:
@@ -296,21 +295,20 @@ def find_spans(text: str, field: SemiMarkov) -> tuple[list[tuple[str, int, int]]
 
 
 def _islands(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
-    """Parts of a line around its triggers, with NEAR words before; no segment can join two of them."""
+    """Parts of a line around its triggers, from whole tokens, with NEAR words before; no segment can join two of them."""
     start = stop = -1
     at = begin
     while (m := _TRIGGER.search(text, at, end)) is not None:
         b = _space(text, m.end(), end)
-        a, low = m.start(), max(begin, m.start() - 64)
-        a = max(text.rfind(" ", low, a), low - 1) + 1
-        for _ in range(NEAR):
-            a = max(text.rfind(" ", low, max(low, a - 1)), low - 1) + 1
-        if start >= 0 and a <= stop + SPAN_CHARS:
+        first = text.rfind(" ", at, m.start()) + 1 or at
+        if start >= 0 and len(text[stop:first].split(None, SEGMENT)) < SEGMENT - 1:
             stop = b
         else:
             if start >= 0:
                 yield start, stop
-            start, stop = a, b
+            start, stop = first, b
+            for _ in range(NEAR):
+                start = text.rfind(" ", at, max(at, start - 1)) + 1 or at
         at = b
     if start >= 0:
         yield start, stop

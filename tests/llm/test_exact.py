@@ -188,6 +188,23 @@ def test_field_finds_what_patterns_miss():
     assert pii.find_spans("a clean text of 12 words, from 1998-03-04 at 10:30, v1.2.3", field)[1] == []
 
 
+def test_field_takes_tokens_of_any_length():
+    field = pii.trained()
+    value = "0123456789abcdef" * 8
+    long = f"password={value}"
+    assert ("secret", 4, 4 + len(long)) in pii.find_spans(f"the {long} here", field)[1]
+    head = "ab" * 40 + "token=" + value[:64]
+    assert ("secret", 4, 4 + len(head)) in pii.find_spans(f"the {head} here", field)[1]
+    assert pii.redact(f"the {head} here", pii.find_spans(f"the {head} here", field)[1]) == "the [SECRET] here"
+
+
+def test_islands_hold_every_segment():
+    text = " ".join(f"{'w' * (7 * i % 90 + 1)}{'=3' if i % 5 == 0 or i % 23 == 0 else ''}" for i in range(200))
+    whole = {(a, b) for segs in pii.Line(text).by_end.values() for _, a, b, _ in segs}
+    parts = {(s + a, s + b) for s, e in pii._islands(text, 0, len(text)) for segs in pii.Line(text[s:e]).by_end.values() for _, a, b, _ in segs}
+    assert whole == parts
+
+
 def test_semi_markov_program_equals_enumeration():
     field = pii.trained()
     line = pii.Line("call +1 (604) 555-8016 or 4111 1111 1111 1111 x=3")
