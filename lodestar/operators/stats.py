@@ -97,6 +97,12 @@ def interval(resamples: DataFrame, level: float = 0.95) -> DataFrame:
     return resamples.agg(F.percentile("stat", a).alias("low"), F.percentile("stat", 1 - a).alias("high"), F.count("stat").alias("draws"))
 
 
+def against_null(resamples: DataFrame, null: float = 0.0) -> DataFrame:
+    """Two-sided p-value, twice the smaller tail with one more draw than there were; 1 without draws."""
+    below, above, n = F.count_if(F.col("stat") <= null), F.count_if(F.col("stat") >= null), F.count("stat")
+    return resamples.agg(F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2.0 * (F.least(below, above) + 1) / (n + 1))).alias("p_value"))
+
+
 def overlap(a: Column, b: Column) -> dict[str, Column]:
     """Sizes and Jaccard of two id arrays; null if both are empty."""
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))

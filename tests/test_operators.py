@@ -73,6 +73,15 @@ def test_bootstrap_brackets_the_rate_and_repeats(spark, sf):
     assert a == b and a["low"] <= a["rate"] <= a["high"] and a["draws"] == 1000
 
 
+def test_bootstrap_of_the_reference(spark, sf):
+    r = QUERIES["cluster_bootstrap_ci_whole"](spark, sf).first()
+    assert r["draws"] == 10_000 and r["low"] <= r["rate"] <= r["high"] and r["excludes_zero"] == (r["low"] > 0 or r["high"] < 0)
+    draws = lambda xs: spark.createDataFrame([(x,) for x in xs], "stat double")
+    assert stats.against_null(draws([1.0] * 99)).first()["p_value"] == 0.02
+    assert stats.against_null(draws([-1.0, 0.0, 2.0, 3.0])).first()["p_value"] == 1.0
+    assert stats.against_null(draws([])).first()["p_value"] == 1.0
+
+
 def test_binomial_is_exact(spark):
     rows = spark.createDataFrame([(3, 10), (0, 0), (5, 10), (40, 120)], "k long, n long")
     got = [r[0] for r in rows.select(stats.binomial_two_sided(F.col("k"), F.col("n"))).collect()]
