@@ -68,7 +68,7 @@ class WordIds(dict):
             if "Σ" not in word and unicodedata.is_normalized("NFC", low):
                 out = self[word] = self[low]
                 return out
-        elif len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+        elif len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and word[-2].lower()[-1].isalpha():  # no mark joins the stem to the sign
             out = self[word[:-1]] + self[word[-1]]
             self[word] = out
             return out
