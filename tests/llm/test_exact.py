@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import string
 import zlib
@@ -101,15 +102,51 @@ def test_suffix_dedup(spark, duck):
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
 
 
-def test_suffix_family_levels_are_geometric():
-    family, rng = suffix_dedup.SuffixFamily(), np.random.default_rng(0)
-    names, found = rng.integers(0, 500, 1000).astype(np.uint64), set()
-    for i in range(0, 1000, 50):
-        found.update(family.add(names[i : i + 50], names[i : i + 50], np.arange(i, i + 50), np.zeros(50, bool)).tolist())
-    counts = collections.Counter(names.tolist())
-    assert found == {i for i, n in enumerate(names.tolist()) if counts[n] > 1}
-    sizes = [len(level[0]) for level in family.levels]
-    assert all(2 * b < a for a, b in zip(sizes, sizes[1:], strict=False))
+def test_hot_grams_agree_with_shards(spark, monkeypatch):
+    texts = shared_passages(60)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 2000)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), keep=["doc_id"], with_kept=False).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == cut_by_force([(i, t.encode()) for i, t in texts])
+
+
+def shared_passages(n):
+    rng = np.random.default_rng(1)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    shared = word(700)
+    return [(i, word(int(rng.integers(0, 300))) + shared[int(rng.integers(0, 200)) : int(rng.integers(390, 700))] + word(int(rng.integers(0, 300)))) for i in range(n)]
+
+
+def test_suffix_index_of_batches_equals_one_build(spark):
+    from pyspark.sql import functions as F
+
+    texts = shared_passages(40) + [(100, "ab" * 500), (101, "é" * 300)] + shared_passages(10)
+    rows = spark.createDataFrame(texts, "doc_id long, t string").withColumns({"th": F.xxhash64("t"), "n": F.octet_length("t")})
+    covered = lambda found: {(r["th"], r["n"], i) for r in found for s in r["spans"] for i in range(s["a"], s["b"])}
+    index, got = suffix_dedup.SuffixIndex(spark), set()
+    for part in ("doc_id < 15", "doc_id between 15 and 30", "doc_id between 31 and 35", "doc_id > 35"):
+        got |= covered(index.add(rows.where(part)).collect())
+        assert all(2 * b.rows < a.rows for a, b in zip(index.levels, index.levels[1:], strict=False))
+    assert got == covered(suffix_dedup.repeated_ranges(rows).collect())
+
+
+def test_suffix_arrays_are_in_order_and_levels_geometric():
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        span, letters = int(rng.integers(8, 30)), int(rng.integers(1, 4))
+        family, windows = suffix_dedup.SuffixFamily(span), []
+        for _ in range(int(rng.integers(1, 8))):
+            data = rng.integers(97, 97 + letters, int(rng.integers(span, 150))).astype(np.uint8)
+            places = np.arange(len(data) - span + 1)
+            family.add(data, places, len(windows) + places, np.zeros(len(places), bool))
+            windows += [bytes(data[i : i + span]) for i in places]
+        counts = collections.Counter(windows)
+        assert family.matched().tolist() == [i for i, w in enumerate(windows) if counts[w] > 1]
+        for level in family.levels:
+            words = [bytes(level.buffer.data[p : p + span]) for p in level.places]
+            assert words == sorted(words)
+            assert [len(os.path.commonprefix(x)) for x in zip(words, words[1:], strict=False)] == level.common[1:].tolist()
+        sizes = [len(level.places) for level in family.levels]
+        assert all(2 * b < a for a, b in zip(sizes, sizes[1:], strict=False))
 
 
 def test_packing(spark, duck, sf):
