@@ -49,7 +49,8 @@ from ._store import Stored, bound_batches, private, store
 
 SPAN, CORE = 400, 160
 GRAMS = SPAN - CORE + 1
-SHARD_BYTES, HOT_BYTES, BATCH_BYTES = 4 << 20, 4 << 20, 1 << 20
+SHARD_BYTES, HOT_BYTES, BATCH_BYTES = 3 << 19, 2 << 20, 1 << 19
+PAIRS = 1 << 17
 _BYTE = A.byte_values(61)
 _SECOND = A.byte_values(62)
 
@@ -120,8 +121,8 @@ class Buffer:
         with np.errstate(over="ignore"):
             np.cumsum(_BYTE[data] * A._power_table(A._BASE, n + 1)[:n], out=self.total[1:])
         self.inverse = A._power_table(A._BASE_INVERSE, n + 1)
-        padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(A.U64)
-        self.words = padded[:n].copy()
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.words = padded[:n].astype(A.U64)
         for k in range(1, 8):
             self.words <<= A.U64(8)
             self.words |= padded[k : n + k]
@@ -129,6 +130,13 @@ class Buffer:
 
 def common_prefix(x: Buffer, p: np.ndarray, y: Buffer, q: np.ndarray, most: int) -> np.ndarray:
     """How many bytes, up to `most`, the suffixes of x at p have in common with those of y at q."""
+    out = np.zeros(len(p), np.int16)
+    for i in range(0, len(p), PAIRS):
+        out[i : i + PAIRS] = _common_prefix(x, p[i : i + PAIRS], y, q[i : i + PAIRS], most)
+    return out
+
+
+def _common_prefix(x: Buffer, p: np.ndarray, y: Buffer, q: np.ndarray, most: int) -> np.ndarray:
     low, high = np.zeros(len(p), np.int64), np.full(len(p), most, np.int64)
     a, b, i, j = x.total[p], y.total[q], x.inverse[p], y.inverse[q]
     with np.errstate(over="ignore"):
@@ -161,7 +169,7 @@ class SuffixArray:
     def build(cls, data: np.ndarray, places: np.ndarray, owner: np.ndarray, matched: np.ndarray, span: int) -> SuffixArray:
         buffer = Buffer(data)
         order = _suffix_order(buffer, places, span)
-        out = cls(buffer, places[order], owner[order], matched[order], np.zeros(len(order), np.int64), span)
+        out = cls(buffer, places[order], owner[order], matched[order], np.zeros(len(order), np.int16), span)
         out.common[1:] = common_prefix(buffer, out.places[:-1], buffer, out.places[1:], span)
         hit = np.flatnonzero(out.common >= span)
         hit = hit[_equal_bytes(buffer, out.places[hit - 1], buffer, out.places[hit], span)]
@@ -236,7 +244,7 @@ def _suffix_order(buffer: Buffer, places: np.ndarray, span: int) -> np.ndarray:
             return order
         at, new = places[order[rows]], ~tied[rows]
         group = np.cumsum(new) - 1
-        n = np.full(len(rows), span, np.int64)
+        n = np.full(len(rows), span, np.int16)
         inner = np.flatnonzero(~new)
         n[inner] = common_prefix(buffer, at[inner - 1], buffer, at[inner], span)
         depth = np.minimum.reduceat(n, np.flatnonzero(new))[group]
