@@ -1,14 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made. The ordinary one is trained on windows of
-ordinary texts. The toxic one holds the segments that mark toxic texts: runs
-of character GRAM-grams inside a word that are found in many toxic and, by a
-factor of RATIO, hardly any ordinary texts, the most frequent at the end, where
-zstandard reaches them with the shortest offsets. A text is cut into windows
-of WINDOW words; each is compressed once with the ordinary dictionary and once
-with both, and the difference in length is what the toxic one saved. How many
-windows save how many bytes, and the number of windows, are calibrated to a
-score by a ridge logistic regression on sample rows.
+Two zstandard dictionaries are trained, one on windows of ordinary texts and one
+on windows of toxic texts, both by zstandard's own trainer. Texts of both classes
+are alike almost everywhere, so a toxic dictionary of whole texts learns what both
+share; its training windows are therefore chosen: the stretches inside words that
+hold character GRAM-grams found in many toxic and, by a factor of RATIO, hardly
+any ordinary texts, each as often as it occurs. What the dictionary keeps of them
+is the trainer's choice.
+
+A text is cut into windows of WINDOW words. Each is compressed with the ordinary
+dictionary, and with the toxic one in front of the data as well; the difference in
+length is what the toxic one saved. Savings from a threshold on are summed over
+the windows and divided by a root of their number. That threshold, and where on
+this sum the score passes 0.5, are calibrated on the sample: every sample text is
+measured through dictionaries trained without it, each threshold gets a logistic
+curve, and the one of the smallest log loss is taken.
 
 Learning takes a documented sample: about TOXIC_ROWS and ORDINARY_ROWS labelled
 rows, drawn by a hash of their id, of texts up to SAMPLE_CHARS characters.
@@ -36,13 +42,13 @@ from pyspark.sql import functions as F
 
 from ._store import bound_batches, private
 
-TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 1000, 2000, 100_000
+TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 1000, 2000, 20_000
 WINDOW, GRAM, RATIO = 8, 5, 20
 SHARE, LEAST = 0.02, 4
 FOLDS = 2
-ORDINARY_BYTES, SEGMENTS = 4096, 120
-SAVED, MOST = (2, 3, 4, 5, 6, 7), 4
-RIDGE = 1.0
+ORDINARY_BYTES, TOXIC_BYTES = 4096, 1536
+THRESHOLDS, SPREAD = (2, 3, 4, 5, 6), 20
+RIDGE = 1e-2
 _MARKS = re.compile(r"[^\w\s]")
 
 
@@ -67,8 +73,8 @@ def _grams(word: str) -> Iterator[str]:
     return (padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1))
 
 
-def characteristic_segments(toxic: list[list[str]], ordinary: list[list[str]]) -> Counter[str]:
-    """The segments of words that mark toxic texts, by how often they occur there."""
+def marked_windows(toxic: list[list[str]], ordinary: list[list[str]]) -> list[bytes]:
+    """The stretches of words of toxic texts that hold marking grams, as often as they occur."""
     in_toxic: Counter[str] = Counter()
     for words in toxic:
         in_toxic.update({g for w in set(words) for g in _grams(w)})
@@ -78,86 +84,94 @@ def characteristic_segments(toxic: list[list[str]], ordinary: list[list[str]]) -
     for words in ordinary:
         in_ordinary.update({g for w in set(words) for g in _grams(w)} & open_)
     marks = {g for g in open_ if in_toxic[g] / len(toxic) >= RATIO * (in_ordinary[g] + 0.5) / max(1, len(ordinary))}
-    segments: Counter[str] = Counter()
+    found = []
     for words in toxic:
         for w in words:
-            padded, at = f" {w} ", -1
+            padded = f" {w} "
             covered = [i for i in range(len(padded) - GRAM + 1) if padded[i : i + GRAM] in marks]
             while covered:
                 at = end = covered.pop(0)
                 while covered and covered[0] <= end + GRAM:
                     end = covered.pop(0)
-                segments[padded[at : end + GRAM]] += 1
-    return segments
+                found.append(padded[at : end + GRAM].encode("utf-8", "replace"))
+    return found
 
 
-def _train_ordinary(ordinary: list[list[str]]) -> bytes:
-    samples = [x for words in ordinary for x in windows_of(words)]
+def _dictionary(samples: list[bytes], size: int, k: int) -> bytes:
     random.Random(5).shuffle(samples)
     try:
-        return zstandard.train_dictionary(ORDINARY_BYTES, samples[:100_000], k=32, d=6, level=3).as_bytes()
+        return zstandard.train_dictionary(size, samples[:100_000], k=k, d=6, level=3).as_bytes()
     except zstandard.ZstdError:  # too few samples to select from
-        return b"".join(samples)[:ORDINARY_BYTES]
+        return b"".join(samples)[:size]
 
 
 @dataclass
 class Model:
     ordinary: bytes
     toxic: bytes
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    threshold: int = 0
+    bias: float = 0.0
+    slope: float = 0.0
     constant: float | None = None
 
     def prepare(self) -> None:
         self.with_both, self.with_ordinary = _compressor(self.ordinary + self.toxic), _compressor(self.ordinary)
 
-    def features(self, words: list[str]) -> list[float]:
+    def savings(self, words: list[str]) -> np.ndarray:
+        """How many bytes shorter the toxic dictionary makes each window."""
         both, one = self.with_both, self.with_ordinary
-        saved = [len(one(x)) - len(both(x)) for x in windows_of(words)]
-        if not saved:
-            return [0.0] * (len(SAVED) + 2)
-        counts = Counter(min(s, SAVED[-1]) for s in saved)
-        return [*(min(counts[k], MOST) for k in SAVED), float(np.log1p(len(saved))), max(saved)]
+        return np.array([len(one(x)) - len(both(x)) for x in windows_of(words)], np.int64)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        x = np.array([self.features(words_of(t or "")) for t in texts], float).reshape(len(texts), -1)
-        return 1 / (1 + np.exp(-(self.weights[0] + (x - self.mean) / self.scale @ self.weights[1:])))
+        x = np.array([_excess(self.savings(words_of(t or "")), self.threshold) for t in texts], float)
+        return 1 / (1 + np.exp(-(self.bias + self.slope * x)))
+
+
+def _excess(saved: np.ndarray, threshold: int) -> float:
+    return float(np.maximum(0, saved - threshold + 1).sum() / np.sqrt(SPREAD + len(saved)))
+
+
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Log loss, bias and slope of a logistic curve, by Newton's method; both classes weigh the same, whatever the sample's shares."""
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    z, w, keep = np.c_[np.ones(len(x)), x], np.zeros(2), RIDGE * np.diag([0.0, 1.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + keep + 1e-9 * np.eye(2), z.T @ (weight * (p - y)) + keep @ w)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), 1e-12, 1 - 1e-12)
+    return float(-np.mean(weight * (y * np.log(p) + (1 - y) * np.log(1 - p)))), float(w[0]), float(w[1])
 
 
 def _dictionaries(sides: list[list[list[str]]]) -> tuple[bytes, bytes]:
-    found = characteristic_segments(sides[1], sides[0]).most_common(SEGMENTS)
-    return _train_ordinary(sides[0]), "".join(s for s, _ in reversed(found)).encode()
+    return _dictionary([x for words in sides[0] for x in windows_of(words)], ORDINARY_BYTES, 32), _dictionary(marked_windows(sides[1], sides[0]), TOXIC_BYTES, 24)
 
 
 def train(texts: list[str], toxic: list[int]) -> Model:
     """Dictionaries from all rows; the calibration sees each row through dictionaries made without it."""
     words = [words_of(t) for t in texts]
     y = np.array(toxic, int)
-    nothing = np.zeros(0)
     if not len(y) or y.min() == y.max():
-        return Model(b"", b"", nothing, nothing, nothing, constant=float(y.max()) if len(y) else 0.0)
+        return Model(b"", b"", constant=float(y.max()) if len(y) else 0.0)
     fold = np.arange(len(y)) % FOLDS
     sides = lambda rows: [[words[i] for i in rows if toxic[i] == k] for k in (0, 1)]
-    x = np.zeros((len(y), len(SAVED) + 2))
+    saved: list[np.ndarray] = [np.zeros(0)] * len(y)
     for k in range(FOLDS):
         others = sides(np.flatnonzero(fold != k))
         if not all(others):
             others = sides(range(len(y)))
-        part = Model(*_dictionaries(others), nothing, nothing, nothing)
+        part = Model(*_dictionaries(others))
         part.prepare()
         for i in np.flatnonzero(fold == k):
-            x[i] = part.features(words[i])
-    model = Model(*_dictionaries(sides(range(len(y)))), x.mean(axis=0), x.std(axis=0) + 1e-9, nothing)
-    z = np.c_[np.ones(len(x)), (x - model.mean) / model.scale]
-    w = np.zeros(z.shape[1])
-    for _ in range(30):  # Newton's method
-        p = 1 / (1 + np.exp(-z @ w))
-        slope = z.T @ (p - y) + RIDGE * np.r_[0, w[1:]]
-        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(len(w)), slope)
-    model.weights = w
+            saved[i] = part.savings(words[i])
+    curves = {t: _curve(np.array([_excess(s, t) for s in saved]), y) for t in THRESHOLDS}
+    threshold = min(curves, key=lambda t: (curves[t][0], t))
+    model = Model(*_dictionaries(sides(range(len(y)))), threshold, *curves[threshold][1:])
+    model.prepare()
     return model
 
 

@@ -88,3 +88,33 @@ def test_long_secrets_are_found_whole(spark, text, least):
     row = pii.detect(spark.createDataFrame([(1, f"some words before {text} and some after")], "doc_id long, text string"), keep=["doc_id"], with_text=False).first()
     spans = [s.split(":") for s in row["spans"].split(",") if s]
     assert any(int(b) - int(a) >= least for _, a, b in spans), row["spans"]
+
+
+def test_toxicity_query_on_held_out_rows(spark):
+    """Of the held-out texts labelled toxic about two in five hold no marking word at all, so recall can't pass some 0.6 here."""
+    from lodestar.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    scored = queries.op3_compression_toxicity(spark, folder).where("held_out")
+    rows = scored.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("toxic", "score", "predicted").collect()
+    toxic, clean = ([r for r in rows if r["toxic"] == k] for k in (1, 0))
+    assert len(toxic) > 50 and len(clean) > 500
+    assert np.mean([r["predicted"] for r in toxic]) >= 0.5
+    assert np.mean([r["predicted"] for r in clean]) <= 0.05
+    assert np.mean([r["score"] for r in toxic]) > np.mean([r["score"] for r in clean]) + 0.2
+
+
+def test_both_dictionaries_come_from_the_trainer():
+    import zstandard
+
+    from lodestar.llm import toxicity
+
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    text = lambda extra: " ".join(rng.choice(words) for _ in range(60)) + extra
+    y = [int(i % 3 == 0) for i in range(600)]
+    model = toxicity.train([text(" you vile grublin") if t else text("") for t in y], y)
+    for content in (model.ordinary, model.toxic):
+        assert zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_FULLDICT).dict_id()
+    assert b"grublin" in model.toxic and b"grublin" not in model.ordinary
+    assert model.score(["some words and a grublin here"])[0] > 0.5 > model.score(["some words and nothing here"])[0]
