@@ -114,6 +114,9 @@ class Model:
     slope: float = 0.0
     constant: float | None = None
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("with_both", "with_ordinary")}  # compressors stay where they are
+
     def prepare(self) -> None:
         self.with_both, self.with_ordinary = _compressor(self.ordinary + self.toxic), _compressor(self.ordinary)
 
@@ -148,7 +151,7 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def _dictionaries(sides: list[list[list[str]]]) -> tuple[bytes, bytes]:
-    return _dictionary([x for words in sides[0] for x in windows_of(words)], ORDINARY_BYTES, 32), _dictionary(marked_windows(sides[1], sides[0]), TOXIC_BYTES, 24)
+    return _dictionary([x for words in sides[0] for x in windows_of(words)], ORDINARY_BYTES, 32), _dictionary(marked_windows(sides[1], sides[0]), TOXIC_BYTES, 48)
 
 
 def train(texts: list[str], toxic: list[int]) -> Model:
