@@ -10,7 +10,7 @@ PATTERNS = [
     (r"by[-_ ]nc[-_ ]nd", "cc-by-nc-nd"), (r"by[-_ ]nc[-_ ]sa", "cc-by-nc-sa"), (r"by[-_ ]nc", "cc-by-nc"), (r"by[-_ ]nd", "cc-by-nd"), (r"by[-_ ]sa", "cc-by-sa"),
     (r"publicdomain/zero|cc0", "cc0"), (r"licenses/by/|cc[-_ ]by", "cc-by"), (r"text[- ]and[- ]data[- ]mining", "tdm"),
 ]
-ABBREVIATIONS = "al approx ca cf dr e.g eq et etc fig figs i.e no ref refs resp sp st vs".split()
+ABBREVIATIONS = "vs cf eg ie al fig figs no ca approx etc dr prof st mg kg ml yr yrs min max ref".split()
 
 
 def code(reference: Column) -> Column:

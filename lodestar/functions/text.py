@@ -134,9 +134,66 @@ def good_noun_phrase(text: Column) -> Column:
     return F.length(text).between(15, 220) & ~F.contains(text, F.lit("?")) & (F.size(F.split(text, " ")) >= 4) & ~last.isin(DANGLING) & balanced
 
 
-def choice(text: Column, letters: str = "ABCDE") -> Column:
-    """The answer letter: the last match of the first phrase pattern that has one, else the last lone letter."""
-    phrases = [rf"(?i)answer\s+is\s*:?\s*\(?([{letters}])\b", rf"(?i)answer\s*:\s*\(?([{letters}])\b", rf"(?i)option\s+\(?([{letters}])\b", rf"\(([{letters}])\)", rf"\b([{letters}])\)", rf"\b([{letters}])\b"]
-    last = lambda p: F.element_at(F.regexp_extract_all(text, F.lit(p), F.lit(1)), -1)
-    found = [F.when(F.size(F.regexp_extract_all(text, F.lit(p), F.lit(1))) > 0, F.upper(last(p))) for p in phrases]
-    return F.coalesce(*found)
+# Phrases that announce an answer letter, in order.
+ANSWER_PHRASES = [
+    r"(?:the\s+)?answer\s+is\s*:?\s*\(?\s*([A-Za-z])\s*[\)\.:,]",
+    r"(?:the\s+)?answer\s+is\s*:?\s*\(?\s*([A-Za-z])\s*$",
+    r"\banswer\s*:\s*\(?\s*([A-Za-z])\b",
+    r"\boption\s*\(?\s*([A-Za-z])\s*\)?",
+    r"^\s*\(?\s*([A-Za-z])\s*[\)\.]\s",
+    r"\(\s*([A-Za-z])\s*\)",
+]
+LONE_LETTER = r"\b([A-Za-z])\b"
+
+
+def choice(text: Column, options: Column | None = None) -> Column:
+    """The answer letter: the last valid match of the first phrase that has one, then the last lone letter of an option, then the option whose text stands last.
+
+    options: map of letter to text; without it any letter is valid and only phrases count. Null if nothing is found.
+    """
+    body = F.trim(text)
+    valid = None if options is None else F.transform(F.map_keys(options), F.upper)
+
+    def last(pattern: str) -> Column:
+        found = F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), F.upper)
+        if valid is not None:
+            found = F.filter(found, lambda x: F.array_contains(valid, x))
+        return F.try_element_at(found, F.lit(-1))
+
+    ways = [last("(?im)" + p) for p in ANSWER_PHRASES]
+    if options is not None:
+        low = F.lower(body)
+        told = F.filter(F.map_entries(options), lambda e: (F.trim(e["value"]) != "") & F.contains(low, F.lower(F.trim(e["value"]))))
+        ends = F.transform(told, lambda e: F.struct((F.length(low) - F.length(F.call_function("substring_index", low, F.lower(F.trim(e["value"])), F.lit(-1))) - F.length(F.trim(e["value"]))).alias("at"), e["key"].alias("letter")))
+        ways += [last(LONE_LETTER), F.array_max(ends)["letter"]]
+    return F.coalesce(*ways)
+
+
+# What states a document's objective.
+OBJECTIVE_HEADER = r"(?i)\b(?:OBJECTIVES?|AIMS?|PURPOSE|GOAL)\s*[:.]\s*"
+AIM_SENTENCE = (
+    r"(?i)(?:\bwe\s+aim(?:ed)?\s+to\b|\bthis\s+(?:study|review|analysis|work|paper)\s+aim(?:ed|s)?\s+to\b"
+    r"|\bthe\s+(?:aim|objective|purpose|goal)\s+of\s+(?:this|the)\s+(?:study|review|analysis|work|paper)\s+was\s+to\b)\s*"
+)
+
+
+def after(text: Column, pattern: str) -> Column:
+    """What follows the first match of a pattern; null without one."""
+    rest = F.regexp_extract(text, r"(?s)^.*?" + pattern.replace("(?i)", "(?i:", 1) + r")(.*)$", 1)
+    return F.when(text.rlike(pattern), rest)
+
+
+def information_need(title: Column, text: Column, first_sentence) -> tuple[Column, Column]:
+    """The need that a document states and how: a title that is a question, else the noun phrase of its objective.
+
+    first_sentence: the sentence splitter's first part, as a function of a column.
+    """
+    asked = squash(F.coalesce(title, F.lit("")))
+    question = F.when(asked.endswith("?") & F.length(asked).between(15, 220), asked)
+    header, aim = after(text, OBJECTIVE_HEADER), after(text, AIM_SENTENCE)
+    aimed = first_sentence(aim)
+    stated = F.when(header.isNotNull(), first_sentence(header)).otherwise(F.when(F.startswith(F.lower(aimed), F.lit("to ")), aimed).otherwise(F.concat(F.lit("to "), aimed)))
+    phrase = F.regexp_extract(F.rtrim(F.trim(stated), F.lit(".")), r"(?i)^to\s+[a-z]+\s+(.{15,220})$", 1)
+    need = F.trim(F.rtrim(squash(phrase), F.lit(".;:,")))
+    good = F.when(good_noun_phrase(need), need)
+    return F.coalesce(question, good), F.when(question.isNotNull(), "title_question").when(good.isNotNull(), "objective_np")

@@ -89,7 +89,18 @@ def licence_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", code.alias("code"), licences.band(code, ref).alias("band"))
 
 
-@query()
+ABBREVIATED = "(?i)(^|[\\s\\x01])([(,;:]*(?:" + "|".join(licences.ABBREVIATIONS) + ")[.),;:]*)\\x01"
+
+
+def sentences_sql(text: str) -> str:
+    """Marks where a sentence ends, takes the marks after abbreviations off, splits."""
+    marked = f"regexp_replace(trim({text}, ' ' || chr(9) || chr(10) || chr(13)), '([.!?])\\s+([A-Z0-9(])', '\\1' || chr(1) || '\\2', 'g')"
+    for _ in range(2):
+        marked = f"regexp_replace({marked}, '{ABBREVIATED}', '\\1\\2 ', 'g')"
+    return f"list_filter(string_split({marked}, chr(1)), lambda s: trim(s) <> '')"
+
+
+@query(f"select doc_id, (i - 1)::int as n, ss[i] as sentence from (select doc_id, ss, unnest(generate_series(1, len(ss))) as i from (select doc_id, {sentences_sql("coalesce(text, '')")} as ss from documents))")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of every text, none cut after an abbreviation."""
     return table(spark, d, "documents").select("doc_id", F.posexplode(licences.sentences(F.coalesce("text", F.lit("")))).alias("n", "sentence"))
