@@ -50,8 +50,7 @@ def _all(text: Column, pattern: str) -> Column:
 
 
 def _without(tokens: Column, stop: list[str], least: int = 1) -> Column:
-    words = F.array(*map(F.lit, stop))
-    return F.filter(tokens, lambda t: ~F.array_contains(words, t) & (F.length(t) >= least))
+    return F.filter(tokens, lambda t: ~t.isin(stop) & (F.length(t) >= least))  # a set of literals is hashed once
 
 
 def policy_tokens(text: Column) -> Column:

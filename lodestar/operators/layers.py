@@ -11,11 +11,14 @@ from lodestar.functions import text as X
 def chunks(docs: DataFrame, size: int = 256, overlap: int = 32, least: int = 20) -> DataFrame:
     """Word windows of every document, with id, place, words and SHA-256; no shuffle."""
     words = F.split(X.squash(F.coalesce("text", F.lit(""))), " ")
-    rows = docs.withColumn("_words", F.filter(words, lambda w: w != "")).withColumn("_starts", X.window_starts(F.col("_words"), size, overlap, least))
-    rows = rows.select(*[c for c in docs.columns if c != "text"], F.posexplode("_starts").alias("chunk_index", "window_start"), "_words")
-    rows = rows.withColumn("_piece", F.slice("_words", F.col("window_start") + 1, size))
-    rows = rows.withColumns({"text": F.array_join("_piece", " "), "word_count": F.size("_piece").cast("long"), "chunk_id": F.concat(F.col("doc_id").cast("string"), F.lit("#body.w"), F.col("chunk_index").cast("string"))})
-    return rows.withColumn("text_sha256", F.sha2("text", 256)).drop("_words", "_starts", "_piece")
+    rows = docs.withColumn("_words", F.filter(words, lambda w: w != ""))
+    starts = X.window_starts(F.col("_words"), size, overlap, least)
+    cut = F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice("_words", s + 1, size).alias("p")))  # each window takes its own words along, not all
+    pieces = F.transform(cut, lambda x: F.struct(x["s"].alias("window_start"), F.array_join(x["p"], " ").alias("text"), F.size(x["p"]).cast("long").alias("word_count")))
+    rows = rows.select(*[c for c in docs.columns if c != "text"], F.posexplode(pieces).alias("chunk_index", "_piece"))
+    rows = rows.withColumns({"window_start": F.col("_piece.window_start"), "text": F.col("_piece.text"), "word_count": F.col("_piece.word_count")}).drop("_piece")
+    rows = rows.withColumn("chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit("#body.w"), F.col("chunk_index").cast("string")))
+    return rows.withColumn("text_sha256", F.sha2("text", 256))
 
 
 def flag_duplicates(df: DataFrame, key: str, id_: str, *order: str) -> DataFrame:

@@ -34,15 +34,17 @@ def lexical(q_terms: DataFrame, d_terms: DataFrame, qid: str, did: str, depth: i
     """Share of a question's inverse-frequency weight that a passage holds; the best `depth` passages.
 
     Frequencies are counted over passages that share a term with any question;
-    only those terms are ever shuffled. Terms of no passage weigh 1.
+    only those terms are ever shuffled, once: counts and scores read the same
+    exchange, and scores need no other. Terms of no passage weigh 1.
     """
     wanted = q_terms.select("term").distinct()
-    hits = d_terms.join(F.broadcast(wanted) if _few(wanted) else wanted, "term", "left_semi")
+    small = F.broadcast if _few(q_terms) else lambda df: df
+    hits = d_terms.join(small(wanted), "term", "left_semi").repartition(did)
     n = hits.agg(F.count_distinct(did).alias("n"))
     idf = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", F.ln((F.col("n") + 1.0) / (F.col("df") + 0.5)).alias("idf"))
     weighted = q_terms.join(idf, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
     totals = weighted.groupBy(qid).agg(F.sum("idf").alias("total"))
-    scored = hits.join(weighted.join(totals, qid), "term").groupBy(qid, did).agg((F.sum("idf") / F.first("total")).alias("raw"))
+    scored = hits.join(small(weighted.join(totals, qid)), "term").groupBy(qid, did).agg((F.sum("idf") / F.first("total")).alias("raw"))
     scored = scored.select(qid, did, F.round("raw", 9).alias("score")).where("score > 0")
     return top(scored, [qid], [F.desc("score"), F.col(did)], depth)
 
@@ -51,11 +53,17 @@ def _few(df: DataFrame) -> bool:
     return df.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS
 
 
-def bm25_index(docs: DataFrame, did: str, tokens: Column, max_ratio: float = 0.10) -> tuple[DataFrame, DataFrame]:
-    """Postings (id, term, tf, doc_len, idf) without terms of too many documents, and the corpus statistics."""
+def bm25_index(docs: DataFrame, did: str, tokens: Column, max_ratio: float = 0.10, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings (id, term, tf, doc_len, idf) without terms of too many documents, and the corpus statistics.
+
+    wanted (term): only postings of these terms are made; lengths and statistics are those of the whole documents.
+    """
     rows = docs.select(did, tokens.alias("_t")).withColumn("doc_len", F.size("_t").cast("long"))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl"))
-    postings = rows.select(did, "doc_len", F.explode("_t").alias("term")).groupBy(did, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    exploded = rows.select(did, "doc_len", F.explode("_t").alias("term"))
+    if wanted is not None:
+        exploded = exploded.join(F.broadcast(wanted) if _few(wanted) else wanted, "term", "left_semi")
+    postings = exploded.repartition(did).groupBy(did, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))  # one exchange, read by df and scores
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))
     kept = df.where(F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(max_ratio)))).select("term", "df", "avgdl", F.ln(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     return postings.join(kept, "term"), stats
@@ -65,7 +73,7 @@ def bm25(postings: DataFrame, q_terms: DataFrame, qid: str, did: str, k1: float
     """Okapi scores of the documents that share a term with each question, to 9 places."""
     norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.greatest(F.col("doc_len"), F.lit(1)) / F.col("avgdl"))
     part = F.col("idf") * F.col("tf") * F.lit(k1 + 1) / norm
-    return postings.join(q_terms, "term").groupBy(qid, did).agg(F.round(F.sum(part), 9).alias("score"))
+    return postings.join(F.broadcast(q_terms) if _few(q_terms) else q_terms, "term").groupBy(qid, did).agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:

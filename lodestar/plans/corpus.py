@@ -104,7 +104,9 @@ def lexical_top20(spark: SparkSession, d: str) -> DataFrame:
 from ranked join uniq using (chunk_id) where rank <= 5 group by item_id""")
 def evidence_context(spark: SparkSession, d: str) -> DataFrame:
     best = retrieve.lexical(_q_terms(spark, d), _c_terms(spark, d), "item_id", "chunk_id", DEPTH).where("rank <= 5")
-    return retrieve.context(best.join(_unique_chunks(spark, d).select("chunk_id", "text"), "chunk_id"), "item_id", "rank", "text")
+    texts = _chunks(spark, d).select("chunk_id", "text")  # only the winners' texts are met, by the small side
+    few = retrieve._few(_questions(spark, d))
+    return retrieve.context(texts.join(F.broadcast(best) if few else best, "chunk_id"), "item_id", "rank", "text")
 
 
 BM25 = f"""d as (select doc_id, {T2} as t from documents), st as (select count(*) as n, avg(len(t)) as avgdl from d),
@@ -116,8 +118,9 @@ br as (select *, row_number() over (partition by item_id order by score desc, do
 
 
 def _bm25(spark: SparkSession, d: str, depth: int) -> DataFrame:
-    postings, _ = retrieve.bm25_index(table(spark, d, "documents"), "doc_id", X.training_tokens(F.col("text")))
-    scores = retrieve.bm25(postings, retrieve.terms(_questions(spark, d), "item_id", X.training_tokens(F.col("text"))), "item_id", "doc_id")
+    asked = retrieve.terms(_questions(spark, d), "item_id", X.training_tokens(F.col("text")))
+    postings, _ = retrieve.bm25_index(table(spark, d, "documents"), "doc_id", X.training_tokens(F.col("text")), wanted=asked.select("term").distinct())
+    scores = retrieve.bm25(postings, asked, "item_id", "doc_id")
     return retrieve.top(scores, ["item_id"], [F.desc("score"), F.col("doc_id")], depth)
 
 

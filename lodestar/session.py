@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, name: str = "lodestar", **conf: str) -> SparkSession:
@@ -26,6 +26,23 @@ def session(master: str | None = None, name: str = "lodestar", **conf: str) -> S
     return builder.getOrCreate()
 
 
+#: A table below this size for each core is dealt anew if it has fewer files than there are cores.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A freshly read table, its rows dealt over all cores if its few small files would leave most of them idle.
+
+    A file is read by as many tasks as it has row groups, and a small one has one. Larger tables and tables of many
+    files come back as they are, so what is shuffled here is at most SPREAD_BYTES for each core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < cores * SPREAD_BYTES and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers started from now on import this package from where the driver has it.
 
