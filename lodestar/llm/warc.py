@@ -8,11 +8,15 @@ identifiers (a UUID made from the record's own bytes and place), ISO
 timestamps from 14-digit dates, the record type, and SHA-256 block and payload
 digests.
 
-Archives are written through Spark's own writer, one file per segment of at
-most SEGMENT_BYTES of records, so that commits survive lost executors, any
-store Spark can write will do, and no archive is too large to read as a whole.
-Each record is a gzip member of its own; a segment ends with an empty member,
-whose last byte, always 0, is the writer's line end.
+The query lays its pages down as gzipped ARC files, converts those, and reads the
+WARC files back. Files are written through Spark's own writer, one for each
+segment of at most SEGMENT_BYTES of records, so that commits survive lost
+executors, any store Spark can write will do, and no archive is too large to
+read as a whole. (Spark has no binary writer: the text writer takes the bytes
+as they are, and a segment ends with an empty gzip member whose last byte,
+always 0, is the writer's line end.) Each record is a gzip member of its own;
+a WARC segment opens with a warcinfo record. Ids are percent-encoded in
+header fields, so no id can break a line.
 
 Defined cases: null html is an empty payload, a null url is `-`; a null
 page_id is carried as none; payloads under MIN_REVISIT bytes are never
@@ -30,12 +34,13 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import new_path, private, store
+from ._store import new_path, store
 
 MIN_REVISIT = 100
 SEGMENT_BYTES = 8 << 20
@@ -137,7 +142,7 @@ def record_id(*parts: bytes) -> str:
 
 def _page_of(head: bytes) -> str | None:
     found = re.search(rb"\r\nX-Page-Id: ([^\r]*)\r\n", head)
-    return found[1].decode() if found else None
+    return unquote(found[1].decode()) if found else None
 
 
 def to_warc(record: ArcRecord, first_page: str | None = None) -> bytes:
@@ -158,7 +163,7 @@ def to_warc(record: ArcRecord, first_page: str | None = None) -> bytes:
     ]
     if first_page is not None:
         refers = record_id(first_page.encode(), digest.encode())
-        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", refers), ("X-Refers-To-Page-Id", first_page)]
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", refers), ("X-Refers-To-Page-Id", quote(first_page))]
     fields += [("Content-Type", "application/http; msgtype=response" if head else record.fields["Content-type"]), ("Content-Length", str(len(block)))]
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     return text.encode() + block + 2 * _CRLF
@@ -191,28 +196,37 @@ def _members(data: bytes) -> Iterator[bytes]:
 
 
 def _http_head(page_id: object, size: int) -> bytes:
-    page = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
+    page = "" if page_id is None else f"X-Page-Id: {quote(str(page_id))}\r\n"
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{page}Content-Length: {size}\r\n\r\n".encode()
 
 
-def _segments(version: int, date: str):
+def _gzip(record: bytes) -> bytes:
+    member = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
+    return member.compress(record) + member.flush()
+
+
+def warc_info(date: str) -> bytes:
+    """The record that opens a WARC file."""
+    block = b"software: lodestar\r\nformat: WARC File Format 1.1\r\n"
+    text = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(b'warcinfo', date.encode())}\r\nWARC-Date: {warc_date(date)}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n"
+    return text.encode() + block + 2 * _CRLF
+
+
+def _segments(record, opening: bytes):
+    """Batches to files: record makes the bytes of a row from its columns; each file opens with `opening`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         size = 0
 
         def segment() -> pa.RecordBatch:
-            whole = b"".join(held) + _EMPTY_MEMBER
+            whole = b"".join([_gzip(opening), *held, _EMPTY_MEMBER])
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([whole[:-1]], pa.binary())], names=["segment"])
 
         for batch in batches:
-            for page, url, html, first in zip(*(batch.column(k) for k in range(4)), strict=True):
-                payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-                content = _http_head(page.as_py(), len(payload)) + payload
-                legacy = arc_header(version, date, "pages.arc") + arc_record(version, url.as_py() or "-", date, content)
-                for record in read_arc(legacy):
-                    member = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
-                    held.append(member.compress(to_warc(record, str(first.as_py()) if first.is_valid else None)) + member.flush())
+            for row in zip(*batch.columns, strict=True):
+                held.append(_gzip(record(*row)))
                 size += len(held[-1])
                 if size >= SEGMENT_BYTES:
                     yield segment()
@@ -223,23 +237,77 @@ def _segments(version: int, date: str):
     return run
 
 
-def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", version: int = 1, date: str = "20240101000000") -> None:
-    """Write one WARC record per row to .gz archives under path, each first laid down as ARC of that version.
+def _write(segments: DataFrame, path: str) -> None:
+    text = segments.select(F.col("segment").cast("string").alias("value"))
+    text.write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
+
+
+def _bytes(value: pa.Scalar) -> bytes:
+    return value.as_buffer().to_pybytes() if value.is_valid else b""
+
+
+def write_arc_files(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", version: int = 1, date: str = "20240101000000") -> None:
+    """One ARC record of that version for each row, in gzipped ARC files under path."""
+
+    def record(page, link, body) -> bytes:
+        payload = _bytes(body)
+        return arc_record(version, link.as_py() or "-", date, _http_head(page.as_py(), len(payload)) + payload)
+
+    rows = pages.select(F.col(page_id).alias("page"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").cast("binary").alias("html"))
+    _write(rows.mapInArrow(_segments(record, arc_header(version, date, "pages.arc")), "segment binary"), path)
+
+
+_ARC_ROW = "page string, url string, ip string, archive_date string, mime string, content binary, payload_digest string, payload_bytes long"
+
 
-    Equal payloads of at least MIN_REVISIT bytes are found by digest; only the
-    small table of repeated digests meets the pages again, not the pages each other.
+def _arc_rows(with_content: bool):
+    names = [x.split(" ")[0] for x in _ARC_ROW.split(", ")]
+
+    def rows(archive: bytes) -> Iterator[tuple]:
+        whole = b"".join(_members(archive)) if archive[:2] == b"\x1f\x8b" else archive
+        for r in read_arc(whole):
+            head, payload = _split_http(r.content)
+            content = r.content if with_content else None
+            yield _page_of(head), r.url, r.fields["IP-address"], r.fields["Archive-date"], r.fields["Content-type"], content, hashlib.sha256(payload).hexdigest(), len(payload)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 5 + [pa.binary(), pa.string(), pa.int64()]
+        for batch in batches:
+            for archive in batch.column(0):
+                found = list(rows(archive.as_buffer().to_pybytes()))
+                for i in range(0, len(found), 500):
+                    part = found[i : i + 500]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], kinds[k]) for k in range(len(names))], names=names)
+
+    return run
+
+
+def read_arc_files(spark, path: str, *, with_content: bool = True) -> DataFrame:
+    """The records of all ARC files under path, of either version, gzipped or plain: page, url, ip, archive_date, mime, content, payload_digest, payload_bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
+    return files.mapInArrow(_arc_rows(with_content), _ARC_ROW)
+
+
+def convert_arc_files(spark, arc_path: str, path: str, *, kind: str = "string", date: str = "20240101000000") -> None:
+    """Write the records of all ARC files under arc_path as WARC files under path.
+
+    Equal payloads of at least MIN_REVISIT bytes are found by digest; of each the
+    record of the smallest page id (ordered as `kind`) is a response and the others
+    revisit it. Only the small table of repeated digests meets the records again.
     """
-    p = private(pages)
-    rows = pages.select(F.col(page_id).alias("page"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
-    digests = rows.where(F.octet_length("html") >= MIN_REVISIT).select("page", F.sha2("html", 256).alias(f"{p}d"))
-    repeated = digests.groupBy(f"{p}d").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    digests = read_arc_files(spark, arc_path, with_content=False).where(F.col("payload_bytes") >= MIN_REVISIT)
+    repeated = digests.groupBy(F.col("payload_digest").alias("d")).agg(F.min(F.col("page").cast(kind)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     repeated = store(repeated, "repeated-payloads")
-    digest = F.when(F.octet_length("html") >= MIN_REVISIT, F.sha2("html", 256))
-    marked = rows.withColumn("d", digest).join(repeated.side(), F.col("d") == F.col(f"{p}d"), "left")  # while few repeat, no page moves
-    marked = marked.select("page", "url", F.col("html").cast("binary").alias("html"), F.when(~F.col("page").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
-    segments = marked.mapInArrow(_segments(version, date), "segment binary")
-    text = segments.select(F.col("segment").cast("string").alias("value"))
-    text.write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
+    rows = read_arc_files(spark, arc_path)
+    marked = rows.join(repeated.side(), (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") >= MIN_REVISIT), "left")  # while few repeat, no record moves
+    first = F.when(~F.col("page").cast(kind).eqNullSafe(F.col("first")), F.col("first").cast("string"))
+
+    def record(url, ip, archived, mime, content, first_page) -> bytes:
+        own = ArcRecord({"URL": url.as_py(), "IP-address": ip.as_py(), "Archive-date": archived.as_py(), "Content-type": mime.as_py()}, _bytes(content))
+        return to_warc(own, first_page.as_py())
+
+    chosen = marked.select("url", "ip", "archive_date", "mime", "content", first.alias("first_page"))
+    _write(chosen.mapInArrow(_segments(record, warc_info(date)), "segment binary"), path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,13 +317,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
             for member in _members(archive.as_buffer().to_pybytes()):
                 for fields, block in read_warc(member):
+                    if fields["WARC-Type"] == "warcinfo":
+                        continue
                     head, payload = _split_http(block)
                     http = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:] if ": " in x)
                     size = int(http["Content-Length"])
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
                     if fields["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                         raise ValueError(f"the payload of {fields['WARC-Record-ID']} doesn't match its digest")
-                    out.append((http.get("X-Page-Id"), size, digest, fields["WARC-Type"], fields.get("X-Refers-To-Page-Id")))
+                    refers = fields.get("X-Refers-To-Page-Id")
+                    out.append((_page_of(head), size, digest, fields["WARC-Type"], unquote(refers) if refers else None))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64() if k == 1 else pa.string()) for k in range(5)], names=names)
 
 
@@ -267,8 +338,10 @@ def read_archives(spark, path: str, kind: str = "bigint") -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, *, version: int = 1, path: str | None = None) -> DataFrame:
-    """Write the pages as archives (by default in the shared folder) and read them back."""
+    """Lay the pages down as ARC files (by default in the shared folder), convert those to WARC and read the archives back."""
     spark = pages.sparkSession
-    path = path or new_path(spark, "warc")
-    write_archives(pages, path, version=version)
-    return read_archives(spark, path, pages.schema["page_id"].dataType.simpleString())
+    kind = pages.schema["page_id"].dataType.simpleString()
+    path = path or new_path(spark, "archives")
+    write_arc_files(pages, f"{path}/arc", version=version)
+    convert_arc_files(spark, f"{path}/arc", f"{path}/warc", kind=kind)
+    return read_archives(spark, f"{path}/warc", kind)
