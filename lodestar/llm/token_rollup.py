@@ -6,10 +6,14 @@ a revision is a delete of the old count with an insert of the new one. Totals
 are the sums over all committed batches, so batches may arrive in any order,
 and nothing that is already summed is read again.
 
-A batch is committed by its id: the deltas are written under a name of their
-own and come into force by one rename to the batch's name. A batch that is
-there already is left alone, so a replay, also one after a lost driver or of a
-half-done write, changes nothing.
+A batch is committed by its id. Each writer writes the deltas whole under the
+batch's folder in a folder of its own; it counts once its success mark is there,
+and of several writers of one batch readers take one, the first by name, so a
+replay, also one after a lost driver, a half-done write or beside another
+writer, changes nothing. No rename is needed, so any store will do.
+
+compact() sums what is committed into a rolled-up table that names its batches;
+totals then read the newest one and the batches after it.
 
 Defined cases: a null text has no tokens; null sources and languages are
 groups of their own; repeated rows count each; groups whose documents and
@@ -59,35 +63,56 @@ class RollupStore:
             raise ValueError(f"bad batch id {batch_id!r}")
         return f"{self.path}/batches/{batch_id}"
 
+    def _names(self, folder: str) -> list[str]:
+        fs, at = _hadoop(self.spark, folder)
+        return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _whole(self, folder: str) -> list[str]:
+        """The tables under a folder that were written to their end."""
+        return [n for n in self._names(folder) if "_SUCCESS" in self._names(f"{folder}/{n}")]
+
     def committed(self, batch_id: str) -> bool:
-        fs, at = _hadoop(self.spark, self._at(batch_id))
-        return fs.exists(at)
+        return bool(self._whole(self._at(batch_id)))
 
     def batches(self) -> list[str]:
-        fs, at = _hadoop(self.spark, f"{self.path}/batches")
-        return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+        return [b for b in self._names(f"{self.path}/batches") if self.committed(b)]
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Sum the signed rows and commit them; False if the batch is there already."""
-        fs, at = _hadoop(self.spark, self._at(batch_id))
-        if fs.exists(at):
+        if self.committed(batch_id):
             return False
-        staged = f"{self.path}/staged/{batch_id}-{uuid.uuid4().hex}"
-        _sums(deltas).where("documents <> 0 or tokens <> 0").write.parquet(staged)
-        fs.mkdirs(at.getParent())
-        _, source = _hadoop(self.spark, staged)
-        if fs.exists(at) or not fs.rename(source, at):  # another writer was first
-            fs.delete(source, True)
-            return False
-        return True
+        own = uuid.uuid4().hex
+        _sums(deltas).where("documents <> 0 or tokens <> 0").write.parquet(f"{self._at(batch_id)}/{own}")
+        return self._whole(self._at(batch_id))[0] == own
+
+    def _rolled(self) -> tuple[str | None, set[str]]:
+        """The newest rolled-up table and the batches in it."""
+        done = self._whole(f"{self.path}/rolled")
+        if not done:
+            return None, set()
+        inside = self.spark.read.schema("batch string").json(f"{self.path}/rolled-batches/{done[-1]}").collect()  # one row per batch
+        return f"{self.path}/rolled/{done[-1]}", {r["batch"] for r in inside}
+
+    def compact(self) -> None:
+        """Roll all committed batches up into one table; the batches stay until they are deleted by hand."""
+        names = self.batches()
+        if not names:
+            return
+        name = f"{len(self._names(f'{self.path}/rolled')):08d}-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(b,) for b in names], "batch string").coalesce(1).write.json(f"{self.path}/rolled-batches/{name}")
+        self._read(names).write.parquet(f"{self.path}/rolled/{name}")
+
+    def _read(self, names: list[str]) -> DataFrame:
+        rolled, inside = self._rolled()
+        paths = [f"{self._at(b)}/{self._whole(self._at(b))[0]}" for b in names if b not in inside] + ([rolled] if rolled else [])
+        return _sums(self.spark.read.schema(SCHEMA).parquet(*paths))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, documents and tokens over all committed batches."""
         names = self.batches()
         if not names:
             return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(*[self._at(b) for b in names])
-        return _sums(rows).where("documents <> 0 or tokens <> 0")
+        return self._read(names).where("documents <> 0 or tokens <> 0")
 
 
 def maintain(docs: DataFrame, *, text: str = "text") -> RollupStore:
@@ -105,5 +130,6 @@ def maintain(docs: DataFrame, *, text: str = "text") -> RollupStore:
     rollup.commit("revise-english", revised)  # a replay
     empty = docs.where(token_count(F.col(text).cast("string"), WORDS_V1) == 0)
     is_english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    rollup.compact()
     rollup.commit("delete-empty", signed_counts(empty.where(~is_english), WORDS_V1, -1, text=text).union(signed_counts(empty.where(is_english), WORDS_V2, -1, text=text)))
     return rollup

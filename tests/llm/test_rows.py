@@ -117,3 +117,46 @@ def test_both_dictionaries_come_from_the_trainer():
     assert b"grubl" in model.toxic and b"grubl" not in model.ordinary
     low, high = model.score(["some words and nothing here", f"some words and a {insults[0]} and {insults[1]} here"])
     assert low < 0.5 < high
+
+
+def test_archives_with_string_ids_and_breaks_in_them(spark):
+    from lodestar.llm import warc
+
+    rows = [("a\r\nX-Page-Id: b", "http://x/", "p" * 200), ("b", "u", "p" * 200), ("", "u", "short"), (None, "u", "p" * 200), ("é ü%41", "u", "q" * 120)]
+    for version in (1, 2):
+        got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(spark.createDataFrame(rows, "page_id string, url string, html string"), version=version).collect()}
+        assert got == {"a\r\nX-Page-Id: b": (200, "response", None), "b": (200, "revisit", rows[0][0]), "": (5, "response", None), None: (200, "revisit", rows[0][0]), "é ü%41": (120, "response", None)}
+
+
+def test_plain_and_gzipped_arc_files_are_read(spark, tmp_path):
+    import gzip
+
+    from lodestar.llm import warc
+
+    for version in (1, 2):
+        folder = tmp_path / str(version)
+        folder.mkdir()
+        data = warc.arc_header(version, "20240102", "f.arc") + b"".join(warc.arc_record(version, f"http://x/{i}", "20240102030405", b"HTTP/1.1 200 OK\r\n\r\nbody%d" % i) for i in range(3))
+        (folder / "a.arc").write_bytes(data)
+        (folder / "b.arc.gz").write_bytes(gzip.compress(data))
+        rows = warc.read_arc_files(spark, str(folder)).collect()
+        assert sorted(r["url"] for r in rows) == sorted([f"http://x/{i}" for i in range(3)] * 2)
+        assert {bytes(r["content"])[-5:] for r in rows} == {b"body0", b"body1", b"body2"}
+
+
+def test_rollup_compacts_and_takes_one_of_two_writers(spark):
+    from lodestar.llm import token_rollup
+
+    docs = spark.createDataFrame([("a b c", "s", "en"), ("d", "s", None)], "text string, source string, lang string")
+    rollup = token_rollup.RollupStore(spark)
+    one = token_rollup.signed_counts(docs, "words-v1", 1)
+    assert rollup.commit("x", one) and not rollup.commit("x", one)
+    token_rollup._sums(one).write.parquet(f"{rollup._at('x')}/00000000")  # another writer of the same batch
+    (spark.createDataFrame([], token_rollup.SCHEMA)).write.parquet(f"{rollup._at('half')}/1")
+    want = sorted(map(str, rollup.totals().collect()))
+    rollup.compact()
+    assert sorted(map(str, rollup.totals().collect())) == want
+    assert rollup.commit("y", token_rollup.signed_counts(docs, "words-v1", -1))
+    assert rollup.totals().count() == 0
+    rollup.compact()
+    assert rollup.totals().count() == 0
