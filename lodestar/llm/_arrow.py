@@ -48,7 +48,7 @@ def _power_table(base: U64, n: int) -> np.ndarray:
         table[0] = 1
         with np.errstate(over="ignore"):
             _powers[key] = have = np.cumprod(table, dtype=U64)
-        if size > 1 << 23:  # do not keep the tables of one very long text
+        if size > 1 << 21:  # do not keep the tables of one very long text
             return _powers.pop(key)
     return have
 

@@ -36,7 +36,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 from ._store import bound_batches, private, store
 
 LENGTH, END_ID = 2048, 0
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII signs but the apostrophe, which may begin a piece with the letters after it
 GROUPS, LEAST_GROUP = 10_000, 500
 LONG_TEXT = 1 << 20
 
@@ -45,36 +46,45 @@ class WordIds(dict):
     """Little-endian 32-bit ids of a word between spaces, as bytes; learnt on demand.
 
     The tokenizer cuts at white space and drops it, so a text's ids are its
-    words' ids in a row. Plain letter words go straight to the merge model;
-    any other word takes the whole way.
+    words' ids in a row. It also cuts between letters and signs, so a plain word
+    with signs after it is both in a row. Plain letter words go straight to the
+    merge model; any other word takes the whole way. Two generations of at most
+    CACHE_WORDS words are held; a word of the older one that is met again moves on.
     """
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.bytes_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.older: dict[str, bytes] = {}
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            out = self._learn(word)
         if len(self) > CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
             self[""] = b""
-        if word.isalpha() and unicodedata.is_normalized("NFC", word):
-            low = word.lower()
-            if low == word:
-                mapped = word if word.isascii() else self.bytes_level.pre_tokenize_str(word)[0][0]
-                out = self[word] = _pack(t.id for t in self.model.tokenize(mapped))
-                return out
-            if "Σ" not in word and unicodedata.is_normalized("NFC", low):
-                out = self[word] = self[low]
-                return out
-        elif len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and word[-2].lower()[-1].isalpha():  # no mark joins the stem to the sign
-            out = self[word[:-1]] + self[word[-1]]
-            self[word] = out
-            return out
-        out = self[word] = _pack(self.whole.encode(word, add_special_tokens=False).ids)
+        self[word] = out
         return out
 
+    def _learn(self, word: str) -> bytes:
+        if word.isalpha():
+            if unicodedata.is_normalized("NFC", word):
+                low = word.lower()
+                if low == word:
+                    mapped = word if word.isascii() else self.bytes_level.pre_tokenize_str(word)[0][0]
+                    return _pack([t.id for t in self.model.tokenize(mapped)])
+                if "Σ" not in word and unicodedata.is_normalized("NFC", low):
+                    return self[low]
+        else:
+            stem = word.rstrip(SIGNS)
+            if len(stem) < len(word) and stem.isalpha() and stem.lower()[-1].isalpha():  # no mark joins the stem to the signs
+                return self[stem] + self[word[len(stem) :]]
+        return _pack(self.whole.encode(word, add_special_tokens=False).ids)
+
     def ids(self, text: str) -> bytes:
         get = self.__getitem__
         if len(text) <= LONG_TEXT:
