@@ -187,12 +187,16 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _members(data: bytes) -> Iterator[bytes]:
-    while data:
-        one = zlib.decompressobj(31)
-        out = one.decompress(data) + one.flush()
-        data = one.unused_data
-        if out:
-            yield out
+    """The contents of gzip members; what is left after a member is never copied as a whole."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        one, out = zlib.decompressobj(31), []
+        while not one.eof and at < len(data):
+            part = view[at : at + 16384]
+            out.append(one.decompress(part))
+            at += len(part) - len(one.unused_data)
+        if whole := b"".join(out):
+            yield whole
 
 
 def _http_head(page_id: object, size: int) -> bytes:
@@ -213,7 +217,7 @@ def warc_info(date: str) -> bytes:
 
 
 def _segments(record, opening: bytes):
-    """Batches to files: record makes the bytes of a row from its columns; each file opens with `opening`."""
+    """Batches to segments: record makes the bytes of a row from its columns; each segment opens with `opening`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -257,24 +261,21 @@ def write_arc_files(pages: DataFrame, path: str, *, page_id: str = "page_id", ur
     _write(rows.mapInArrow(_segments(record, arc_header(version, date, "pages.arc")), "segment binary"), path)
 
 
-_ARC_ROW = "page string, url string, ip string, archive_date string, mime string, content binary, payload_digest string, payload_bytes long"
+_ARC_ROW = "page string, url string, ip string, archive_date string, mime string, content binary, payload_digest string, payload_bytes long, file string, place int"
 
 
 def _arc_rows(with_content: bool):
     names = [x.split(" ")[0] for x in _ARC_ROW.split(", ")]
 
-    def rows(archive: bytes) -> Iterator[tuple]:
-        whole = b"".join(_members(archive)) if archive[:2] == b"\x1f\x8b" else archive
-        for r in read_arc(whole):
-            head, payload = _split_http(r.content)
-            content = r.content if with_content else None
-            yield _page_of(head), r.url, r.fields["IP-address"], r.fields["Archive-date"], r.fields["Content-type"], content, hashlib.sha256(payload).hexdigest(), len(payload)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 5 + [pa.binary(), pa.string(), pa.int64()]
+        kinds = [pa.string()] * 5 + [pa.binary(), pa.string(), pa.int64(), pa.string(), pa.int32()]
         for batch in batches:
-            for archive in batch.column(0):
-                found = list(rows(archive.as_buffer().to_pybytes()))
+            for archive, file in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = []
+                for place, r in enumerate(_arc_records(archive)):
+                    head, payload = _split_http(r.content)
+                    content = r.content if with_content else None
+                    found.append((_page_of(head), r.url, r.fields["IP-address"], r.fields["Archive-date"], r.fields["Content-type"], content, hashlib.sha256(payload).hexdigest(), len(payload), file, place))
                 for i in range(0, len(found), 500):
                     part = found[i : i + 500]
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], kinds[k]) for k in range(len(names))], names=names)
@@ -282,10 +283,18 @@ def _arc_rows(with_content: bool):
     return run
 
 
+def _arc_records(archive: pa.Scalar) -> Iterator[ArcRecord]:
+    data = archive.as_buffer().to_pybytes()
+    return read_arc(b"".join(_members(data)) if data[:2] == b"\x1f\x8b" else data)
+
+
+def _files(spark, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content", "path")
+
+
 def read_arc_files(spark, path: str, *, with_content: bool = True) -> DataFrame:
-    """The records of all ARC files under path, of either version, gzipped or plain: page, url, ip, archive_date, mime, content, payload_digest, payload_bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
-    return files.mapInArrow(_arc_rows(with_content), _ARC_ROW)
+    """The records of all ARC files under path, of either version, gzipped or plain: page, url, ip, archive_date, mime, content, payload_digest, payload_bytes, and the file and place where it stands."""
+    return _files(spark, path).mapInArrow(_arc_rows(with_content), _ARC_ROW)
 
 
 def convert_arc_files(spark, arc_path: str, path: str, *, kind: str = "string", date: str = "20240101000000") -> None:
@@ -295,19 +304,26 @@ def convert_arc_files(spark, arc_path: str, path: str, *, kind: str = "string",
     record of the smallest page id (ordered as `kind`) is a response and the others
     revisit it. Only the small table of repeated digests meets the records again.
     """
-    digests = read_arc_files(spark, arc_path, with_content=False).where(F.col("payload_bytes") >= MIN_REVISIT)
+    digests = store(read_arc_files(spark, arc_path, with_content=False).where(F.col("payload_bytes") >= MIN_REVISIT).select("page", "payload_digest", "file", "place"), "payloads").df
     repeated = digests.groupBy(F.col("payload_digest").alias("d")).agg(F.min(F.col("page").cast(kind)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     repeated = store(repeated, "repeated-payloads")
-    rows = read_arc_files(spark, arc_path)
-    marked = rows.join(repeated.side(), (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") >= MIN_REVISIT), "left")  # while few repeat, no record moves
-    first = F.when(~F.col("page").cast(kind).eqNullSafe(F.col("first")), F.col("first").cast("string"))
+    first = digests.join(repeated.side(), F.col("payload_digest") == F.col("d")).where(~F.col("page").cast(kind).eqNullSafe(F.col("first")))
+    revisits = first.groupBy(F.col("file").alias("f")).agg(F.collect_list(F.struct("place", F.col("first").cast("string").alias("first"))).alias("revisits"))
+    revisits = store(revisits, "revisits")  # of a file at most as many as it has records
+    files = _files(spark, arc_path).join(revisits.side(), F.col("path") == F.col("f"), "left").select("content", "revisits")
+    _write(files.mapInArrow(_converted(date), "segment binary"), path)
 
-    def record(url, ip, archived, mime, content, first_page) -> bytes:
-        own = ArcRecord({"URL": url.as_py(), "IP-address": ip.as_py(), "Archive-date": archived.as_py(), "Content-type": mime.as_py()}, _bytes(content))
-        return to_warc(own, first_page.as_py())
 
-    chosen = marked.select("url", "ip", "archive_date", "mime", "content", first.alias("first_page"))
-    _write(chosen.mapInArrow(_segments(record, warc_info(date)), "segment binary"), path)
+def _converted(date: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, revisits in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                firsts = {x["place"]: x["first"] for x in revisits or ()}
+                members = [_gzip(to_warc(record, firsts.get(place))) for place, record in enumerate(_arc_records(archive))]
+                whole = b"".join([_gzip(warc_info(date)), *members, _EMPTY_MEMBER])
+                yield pa.RecordBatch.from_arrays([pa.array([whole[:-1]], pa.binary())], names=["segment"])
+
+    return run
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
