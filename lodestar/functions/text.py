@@ -145,26 +145,24 @@ ANSWER_PHRASES = [
 LONE_LETTER = r"\b([A-Za-z])\b"
 
 
-def choice(text: Column, options: Column | None = None) -> Column:
+def choice(text: Column, options: Column | None = None, letters: str = "ABCDE") -> Column:
     """The answer letter: the last valid match of the first phrase that has one, then the last lone letter of an option, then the option whose text stands last.
 
-    options: map of letter to text; without it any letter is valid and only phrases count. Null if nothing is found.
+    options: map of letter to text; without it the given letters are valid and no text is looked for. Null if nothing is found.
     """
     body = F.trim(text)
-    valid = None if options is None else F.transform(F.map_keys(options), F.upper)
+    valid = F.array(*map(F.lit, letters)) if options is None else F.transform(F.map_keys(options), F.upper)
 
     def last(pattern: str) -> Column:
         found = F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), F.upper)
-        if valid is not None:
-            found = F.filter(found, lambda x: F.array_contains(valid, x))
-        return F.try_element_at(found, F.lit(-1))
+        return F.try_element_at(F.filter(found, lambda x: F.array_contains(valid, x)), F.lit(-1))
 
-    ways = [last("(?im)" + p) for p in ANSWER_PHRASES]
+    ways = [last("(?im)" + p) for p in ANSWER_PHRASES] + [last(LONE_LETTER)]
     if options is not None:
         low = F.lower(body)
         told = F.filter(F.map_entries(options), lambda e: (F.trim(e["value"]) != "") & F.contains(low, F.lower(F.trim(e["value"]))))
         ends = F.transform(told, lambda e: F.struct((F.length(low) - F.length(F.call_function("substring_index", low, F.lower(F.trim(e["value"])), F.lit(-1))) - F.length(F.trim(e["value"]))).alias("at"), e["key"].alias("letter")))
-        ways += [last(LONE_LETTER), F.array_max(ends)["letter"]]
+        ways.append(F.array_max(ends)["letter"])
     return F.coalesce(*ways)
 
 

