@@ -28,7 +28,7 @@ from ._store import bound_batches, private
 BUCKETS = 1 << 16
 ROWS_PER_LANG = 8000
 SMOOTHING = 0.5
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
 _letters: list[np.ndarray] = []
 
 
