@@ -62,11 +62,19 @@ def set_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     return a.join(b, keys, "full").fillna(False, ["in_left", "in_right"])
 
 
-def ordered_digest(df: DataFrame, group: list[str], key: str, value: str) -> DataFrame:
-    """SHA-256 over `key NUL value` pairs in order of the key; groups are candidate lists of bounded length."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(key), F.col(value))))
-    joined = F.array_join(F.transform(pairs, lambda p: F.concat_ws("\x00", p[key].cast("string"), p[value].cast("string"))), "\x00")
-    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sha2(joined, 256).alias("digest"))
+def ordered_digest(df: DataFrame, group: list[str], key: str, value: str, block: int = 4096) -> DataFrame:
+    """SHA-256 over a group's `key NUL value` pairs in order of a whole-number key, in two steps.
+
+    Pairs of each `block` consecutive keys have a digest of their own, and the group's is over those in order: a task
+    holds one block of pairs, and of a group one digest for each block.
+    """
+    def over(parts, lines):
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(parts)), lines), "\x00"), 256)
+
+    rows = df.withColumn("_block", F.floor(F.col(key) / block))
+    pairs = over(F.struct(F.col(key).alias("k"), F.col(value).alias("v")), lambda p: F.concat_ws("\x00", p["k"].cast("string"), p["v"].cast("string")))
+    blocks = rows.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"), pairs.alias("_d"))
+    return blocks.groupBy(*group).agg(F.sum("_n").alias("n"), over(F.struct("_block", "_d"), lambda p: p["_d"]).alias("digest"))
 
 
 def running_offsets(sizes: DataFrame, group: list[str], order: str, size: str) -> DataFrame:

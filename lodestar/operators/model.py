@@ -27,6 +27,17 @@ def stub_choice(prompt: Column, letters: str = "ABCD") -> Column:
     return F.element_at(F.array(*map(F.lit, letters)), (F.floor(stub_probability(prompt) * len(letters)) + 1).cast("int"))
 
 
+#: Generators by name: a prompt column to a text column. Others register a pandas UDF made like scorer's.
+BACKENDS: dict[str, Callable[[Column], Column]] = {"stub": lambda prompt: F.concat(F.lit("The answer is ("), stub_choice(prompt), F.lit(")."))}
+
+
+def generate(backend: str, prompt: Column) -> Column:
+    """the text that a backend generates for each prompt; an unknown name is an error that lists what there is."""
+    if backend not in BACKENDS:
+        raise ValueError(f"unknown backend {backend!r}; there are {', '.join(sorted(BACKENDS))}")
+    return BACKENDS[backend](prompt)
+
+
 def scorer(load: Callable[[], Callable[[list[str]], list[float]]]):
     """load() runs once per Python worker, its result scores one batch of texts at a time."""
 

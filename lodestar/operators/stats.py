@@ -6,31 +6,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_rank(value: str, *by: str) -> Column:
-    """The mean rank of a tie group."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
+#: Equal-width buckets of the range of a group's values; sums over buckets are the only global order there is.
+BUCKETS = 4096
+
+
+def running_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, value, c and before: how many rows of the group have the value and how many a smaller one; nulls are left out.
+
+    Rows are counted by value first, combined before the shuffle. Counts are summed over at most BUCKETS ranges of
+    values of a group, and only the different values of one range are ever put in order by one task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+    same = lambda a, b: [F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{x}")) for x in by]
+    ends = counts.groupBy(*by).agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"))
+    v, width = F.col(f"x.{value}").cast("double"), F.col("e._high") - F.col("e._low")
+    bucket = F.when(width > 0, F.least(F.lit(BUCKETS - 1), F.floor((v - F.col("e._low")) / width * BUCKETS))).otherwise(0).cast("int")
+    joined = counts.alias("x").join(ends.alias("e"), same("x", "e")) if by else counts.alias("x").crossJoin(F.broadcast(ends.alias("e")))
+    placed = joined.select("x.*", bucket.alias("_b"))
+    sums = placed.groupBy(*by, "_b").agg(F.sum("c").alias("_n"))  # at most BUCKETS rows a group
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    met = placed.alias("x").join(starts.alias("s"), [*same("x", "s"), F.col("x._b") == F.col("s._b")]).select("x.*", "s._start")
+    within = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return met.select(*by, value, "c", (F.col("_start") + F.coalesce(F.sum("c").over(within), F.lit(0))).alias("before"))
+
+
+def average_ranks(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """Df with the mean rank of each row's tie group; null for a null value."""
+    ranks = running_counts(df, value, by).select(*[F.col(x).alias(f"_g{i}") for i, x in enumerate(by)], F.col(value).alias("_v"), (F.col("before") + (F.col("c") + 1) / F.lit(2.0)).alias(name))
+    return df.join(ranks, [F.col(value) == F.col("_v"), *[F.col(x).eqNullSafe(F.col(f"_g{i}")) for i, x in enumerate(by)]], "left").drop("_v", *[f"_g{i}" for i in range(len(by))])
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Pearson over average ranks; null under three pairs or without variance."""
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_rx": average_rank(x, *by), "_ry": average_rank(y, *by)})
+    used = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = average_ranks(average_ranks(used, x, by, "_rx"), y, by, "_ry")
     good = (F.count(F.lit(1)) >= 3) & (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0)
     rho = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(good, F.round(rho, 9)).alias("rho"))
 
 
+def quantile(df: DataFrame, value: str, q: float, by: list[str], name: str) -> DataFrame:
+    """By and the value at q, linear between its neighbours, from counts; no rows, no quantile."""
+    counts = running_counts(df, value, by)
+    last = counts.groupBy(*by).agg((F.sum("c") - 1).alias("_last"))
+    rows = counts.alias("x").join(last.alias("l"), [F.col(f"x.{b}").eqNullSafe(F.col(f"l.{b}")) for b in by]) if by else counts.alias("x").crossJoin(F.broadcast(last.alias("l")))
+    at = F.col("_last") * F.lit(q)
+    low, high = F.floor(at), F.ceil(at)
+    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("c"))
+    v = F.col(f"x.{value}").cast("double")
+    ends = rows.groupBy(*[F.col(f"x.{b}").alias(b) for b in by]).agg(F.max(F.when(holds(low), v)).alias("_a"), F.max(F.when(holds(high), v)).alias("_b"), F.max(at - low).alias("_d"))
+    return ends.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_d")).alias(name))
+
+
 def tertile_edges(df: DataFrame, value: str) -> DataFrame:
-    """The sorted values at n div 3 and 2n div 3, found by counts of values, which are combined before the shuffle."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    total = df.where(F.col(value).isNotNull()).agg(F.count(F.lit(1)).alias("n"))
-    buckets = counts.withColumn("_b", F.floor(F.col(value)))  # ranges of values are summed first, so no task sorts them all
-    per = buckets.groupBy("_b").agg(F.sum("c").alias("bc"))
-    before = per.withColumn("lead_in", F.coalesce(F.sum("bc").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "lead_in")
-    within = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = buckets.join(F.broadcast(before), "_b").withColumn("upto", F.col("lead_in") + F.sum("c").over(within)).crossJoin(F.broadcast(total))
-    edge = lambda k: F.min(F.when(F.col("upto") > F.floor(k * F.col("n") / 3), F.col(value)))
-    return placed.agg(edge(1).alias("edge_low"), edge(2).alias("edge_high"))
+    """The sorted values at n div 3 and 2n div 3, from counts of values."""
+    counts = running_counts(df, value, [])
+    total = counts.agg(F.sum("c").alias("n"))
+    edge = lambda k: F.min(F.when(F.col("before") + F.col("c") > F.floor(k * F.col("n") / 3), F.col(value)))
+    return counts.crossJoin(F.broadcast(total)).agg(edge(1).alias("edge_low"), edge(2).alias("edge_high"))
 
 
 def bin_of(value: Column, low: Column, high: Column) -> Column:
@@ -45,11 +79,16 @@ def cohens_h(p1: Column, p2: Column) -> tuple[Column, Column]:
 
 
 def binomial_two_sided(k: Column, n: Column) -> Column:
-    """Exact p of k of n at one half: the sum of the outcomes no likelier than the observed one."""
+    """Exact p of k of n at one half: the sum of the outcomes no likelier than the observed one.
+
+    At one half these are both tails from the nearer end, and they are the same. Terms shrink outwards; those more
+    than 10 sqrt(n) + 100 places out are below a double's last digit, so the list has no more terms than that.
+    """
     log_p = lambda i: log_factorial(n) - log_factorial(i) - log_factorial(n - i) - n * F.ln(F.lit(2.0))
-    seen = log_p(k) + F.lit(1e-9)
-    total = F.aggregate(F.filter(F.sequence(F.lit(0).cast("long"), n), lambda i: log_p(i) <= seen), F.lit(0.0), lambda s, i: s + F.exp(log_p(i)))
-    return F.when(n > 0, F.round(F.least(F.lit(1.0), total), 9)).otherwise(F.lit(1.0))
+    near = F.least(k, n - k)
+    terms = F.least(near, (F.lit(10.0) * F.sqrt(n.cast("double")) + 100).cast("long"))
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), terms), F.lit(0.0), lambda s, j: s + F.exp(log_p(near - j)))
+    return F.when(n > 0, F.round(F.least(F.lit(1.0), 2 * tail), 9)).otherwise(F.lit(1.0))
 
 
 def log_factorial(n: Column) -> Column:

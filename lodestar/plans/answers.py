@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.catalog import query, table
 from lodestar.functions import text as X
 from lodestar.operators import layers
+from lodestar.session import shared_dir
 from lodestar.sources import markup
 from lodestar.streaming import ingest
 
@@ -88,15 +88,13 @@ def transcripts(spark: SparkSession, d: str) -> DataFrame:
 @query("select time_bucket(interval '1 hour', ts) as bucket, event_type, count(*)::bigint as n, round(sum(value), 6) as total from events group by all")
 def stream_tumbling_counts(spark: SparkSession, d: str) -> DataFrame:
     """A stream of the event files, counted in hourly windows with a watermark, run to its end."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-")
-    return ingest.tumbling_counts(spark, f"{d}/events.parquet", f"{shared}/lodestar/stream-{uuid.uuid4().hex}")
+    return ingest.tumbling_counts(spark, f"{d}/events.parquet", f"{shared_dir(spark)}/lodestar/stream-{uuid.uuid4().hex}")
 
 
 @query("select event_id, user_id, event_type from (select *, row_number() over (partition by event_id order by ts) as k from events) where k = 1")
 def stream_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     """Keys seen before are dropped by the stream's state."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-")
-    return ingest.deduplicated(spark, f"{d}/events.parquet", f"{shared}/lodestar/stream-{uuid.uuid4().hex}").select("event_id", "user_id", "event_type")
+    return ingest.deduplicated(spark, f"{d}/events.parquet", f"{shared_dir(spark)}/lodestar/stream-{uuid.uuid4().hex}").select("event_id", "user_id", "event_type")
 
 
 @query("select user_id, count(*)::bigint as attempts, arg_max(event_type, (ts, event_id)) as state from events group by user_id")

@@ -169,7 +169,7 @@ def leakage_exact(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").withColumn("norm", X.question_norm(F.col("text"))).join(items, "norm", "left_semi").select("doc_id")
 
 
-@query("select count(*)::bigint as n, sha256(string_agg(doc_id::varchar || chr(0) || coalesce(n_chars::varchar, ''), chr(0) order by doc_id)) as digest, lang from documents group by lang")
+@query("with b as (select lang, doc_id // 4096 as block, count(*) as n, sha256(string_agg(doc_id::varchar || chr(0) || coalesce(n_chars::varchar, ''), chr(0) order by doc_id)) as d from documents group by all) select sum(n)::bigint as n, sha256(string_agg(d, chr(0) order by block)) as digest, lang from b group by lang")
 def ordered_digest(spark: SparkSession, d: str) -> DataFrame:
     return layers.ordered_digest(table(spark, d, "documents"), ["lang"], "doc_id", "n_chars").select("n", "digest", "lang")
 
@@ -221,6 +221,63 @@ def _support(spark: SparkSession, d: str, least: int) -> DataFrame:
     return admit.support_of_matches(q, c, frequency, "item_id", "chunk_id", F.col("corpus")).where(F.col("matched") >= least)
 
 
+LINES = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""with b as (select distinct unnest(string_split(text, chr(10))) as l from benchmark), n as (select {LINES.format('l')} as norm from b), d as (select doc_id, unnest(string_split(text, chr(10))) as l from documents)
+select doc_id, count(*)::bigint as lines from d where length({LINES.format('l')}) >= 40 and {LINES.format('l')} in (select norm from n) group by doc_id""")
+def leakage_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Q12: documents that hold whole lines of the benchmark."""
+    lines = lambda df, *c: df.select(*c, F.explode(F.split("text", "\n")).alias("l")).select(*c, X.question_norm(F.col("l")).alias("norm"))
+    items = lines(_questions(spark, d)).distinct()
+    held = lines(table(spark, d, "documents"), "doc_id").where(F.length("norm") >= 40)
+    return held.join(items, "norm", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
+STUB = "(('0x' || substr(sha256({}), 1, 12))::bigint / 281474976710656.0)"
+SAID = "['A', 'B', 'C', 'D'][(floor(" + STUB + " * 4) + 1)::int]"
+
+
+@query(f"""{LEXICAL}, top as (select ranked.item_id, rank, uniq.text, b.text as question from ranked join uniq using (chunk_id) join benchmark b using (item_id) where rank <= 5),
+f as (select *, {STUB.format("question || chr(0) || text")} >= 0.7 as own from top), k as (select *, own or (max(own::int) over (partition by item_id) = 0 and rank = 1) as kept, max(own::int) over (partition by item_id) = 0 as empty from f),
+ctx as (select item_id, any_value(question) as question, any_value(empty) as fell_back, count(*)::bigint as passages, string_agg('[' || i || '] ' || text, chr(10) order by i) as context from (select *, row_number() over (partition by item_id order by rank) as i from k where kept) group by item_id),
+g as (select *, {SAID.format("'Question: ' || question || chr(10) || 'Evidence: ' || context || chr(10) || 'Answer:'")} as choice, ['A', 'B', 'C', 'D'][(item_id % 4) + 1] as gold from ctx)
+select item_id, passages, fell_back, choice, gold, choice = gold as correct from g""")
+def answer_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """retrieve, filter with a fallback, put the evidence into a prompt, generate, extract the letter, compare with the gold one."""
+    from lodestar.functions import records
+    from lodestar.operators import model, select
+
+    best = retrieve.lexical(_q_terms(spark, d), _c_terms(spark, d), "item_id", "chunk_id", DEPTH).where("rank <= 5").select("item_id", "chunk_id", "rank")
+    asked = _questions(spark, d).select("item_id", F.col("text").alias("question"))
+    rows = _chunks(spark, d).select("chunk_id", "text").join(F.broadcast(best), "chunk_id").join(asked, "item_id")
+    rows = rows.withColumn("kept", model.stub_probability(F.col("question"), F.col("text")) >= 0.7)
+    kept = select.with_fallback(rows, "item_id", "rank", "kept", "keep_top1").where("kept")
+    evidence = retrieve.context(kept, "item_id", "rank", "text").join(asked, "item_id")
+    fell = kept.groupBy("item_id").agg(F.max(F.col("fallback").isNotNull()).alias("fell_back"))
+    prompt = X.fill("Question: {question}\nEvidence: {context}\nAnswer:", question=F.col("question"), context=F.col("context"))
+    said = evidence.join(fell, "item_id").withColumn("generated", model.generate("stub", prompt)).withColumn("choice", X.choice(F.col("generated")))
+    gold = F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("item_id") % 4 + 1).cast("int"))
+    return said.select("item_id", F.col("n_passages").alias("passages"), "fell_back", "choice", gold.alias("gold"), records.correct(F.col("choice"), gold).alias("correct"))
+
+
+@query(f"""{LEXICAL}, top as (select ranked.item_id, chunk_id, rank, uniq.text, b.text as question, ['A', 'B', 'C', 'D'][(item_id % 4) + 1] as gold from ranked join uniq using (chunk_id) join benchmark b using (item_id) where rank <= 5),
+o as (select item_id, chunk_id, {SAID.format("question")} = gold as closed, {SAID.format("question || chr(10) || text")} = gold as helped, round({STUB.format("question || chr(0) || text")} - {STUB.format("question")}, 9) as delta from top)
+select item_id, chunk_id, closed, helped, delta, case when closed and not helped then 'DISCARD' when delta >= 0.1 then 'HELPFUL' else 'NOT_HELPFUL' end as label from o""")
+def observations(spark: SparkSession, d: str) -> DataFrame:
+    """Each pair answered without and with its passage and scored twice, then labelled."""
+    from lodestar.operators import compare, model
+
+    best = retrieve.lexical(_q_terms(spark, d), _c_terms(spark, d), "item_id", "chunk_id", DEPTH).where("rank <= 5").select("item_id", "chunk_id")
+    gold = F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("item_id") % 4 + 1).cast("int"))
+    asked = _questions(spark, d).select("item_id", F.col("text").alias("question"), gold.alias("gold")).withColumns({"closed": model.stub_choice(F.col("question")) == F.col("gold"), "alone": model.stub_probability(F.col("question"))})
+    rows = _chunks(spark, d).select("chunk_id", "text").join(F.broadcast(best), "chunk_id").join(asked, "item_id")
+    helped = model.stub_choice(F.concat_ws("\n", "question", "text")) == F.col("gold")
+    delta = F.round(model.stub_probability(F.col("question"), F.col("text")) - F.col("alone"), 9)
+    rows = rows.select("item_id", "chunk_id", "closed", helped.alias("helped"), delta.alias("delta"))
+    return rows.withColumn("label", compare.label_tree(F.col("closed"), F.col("helped"), F.col("delta"), F.lit(0.1)))
+
+
 @query("select item_id, 'Question: ' || coalesce(trim(text), '') || chr(10) || 'Answer:' as prompt, substr(sha256('Question: {question}' || chr(10) || 'Answer:'), 1, 12) as fingerprint from benchmark")
 def prompt_render(spark: SparkSession, d: str) -> DataFrame:
     template = "Question: {question}\nAnswer:"

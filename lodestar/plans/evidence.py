@@ -175,7 +175,7 @@ def topk_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {CAND}, r as (select *, rank() over (partition by event_type order by value) + (count(*) over (partition by event_type, value) - 1) / 2.0 as avg_rank from events) select event_id, avg_rank from r")
 def average_ranks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", stats.average_rank("value", "event_type").alias("avg_rank"))
+    return stats.average_ranks(table(spark, d, "events").select("event_id", "value", "event_type"), "value", ["event_type"], "avg_rank").select("event_id", "avg_rank")
 
 
 @query(f"""with {CAND}, u as (select event_type, 'support' as field, support as x, rank as y from scored union all select event_type, 'currency', currency, rank from scored union all select event_type, 'authority', authority, rank from scored),
@@ -244,14 +244,14 @@ def _bootstrap(spark: SparkSession, d: str, draws: int) -> DataFrame:
 @query("select quantile_cont(value, 0.75) as tau from events where value is not null and isfinite(value)")
 def percentile_tau(spark: SparkSession, d: str) -> DataFrame:
     good = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
-    return table(spark, d, "events").where(good).agg(F.percentile("value", 0.75).alias("tau"))
+    return stats.quantile(table(spark, d, "events").where(good), "value", 0.75, [], "tau")
 
 
 @query("""with t as (select event_type, quantile_cont(value, 0.75) as tau from events group by event_type) select e.event_type, case when event_id % 2 = 0 and event_id % 3 <> 0 then 'DISCARD' when value >= tau then 'HELPFUL' else 'NOT_HELPFUL' end as label, count(*)::bigint as n from events e join t using (event_type) group by all""")
 def label_tree(spark: SparkSession, d: str) -> DataFrame:
     """Thresholds per group, then the decision tree over correctness without and with the passage."""
     e = table(spark, d, "events")
-    tau = e.groupBy("event_type").agg(F.percentile("value", 0.75).alias("tau"))
+    tau = stats.quantile(e, "value", 0.75, ["event_type"], "tau")
     label = compare.label_tree(F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0, F.col("value"), F.col("tau"))
     return e.join(tau, "event_type").groupBy("event_type", label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -268,7 +268,9 @@ def last_wins_compaction(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_type, count(*)::bigint as n, count(distinct user_id)::bigint as users, round(avg(value), 6) as mean, median(value) as median, min(value) as low, max(value) as high from events group by event_type")
 def distribution_summary(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean"), F.percentile("value", 0.5).alias("median"), F.min("value").alias("low"), F.max("value").alias("high"))
+    e = table(spark, d, "events")
+    rest = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return rest.join(stats.quantile(e, "value", 0.5, ["event_type"], "median"), "event_type", "left")
 
 
 @query("select event_id, date_diff('day', date '2024-01-01', ts::date)::int as age_days, (year(ts) + ((month(ts) - 1) + (least(28, day(ts)) - 1) / 30.0) / 12.0) as year_fraction, strftime(ts, '%Y-%m') as month from events")

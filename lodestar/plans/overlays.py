@@ -26,6 +26,13 @@ def uncovered_layer_anti(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
 
 
+@query("select c_custkey, c_mktsegment from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
+def uncovered_by_pending(spark: SparkSession, d: str) -> DataFrame:
+    """Customers whom no pending order covers."""
+    pending = table(spark, d, "orders").where("o_orderstatus = 'P'")
+    return table(spark, d, "customer").join(pending, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+
+
 @query("select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders)")
 def wanted_semi(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
@@ -196,6 +203,14 @@ def completeness_check(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(F.col("_there").isNull() | F.col("quality").isNull() | ~F.col("quality").isin(0, 1)).select("doc_id", "quality", F.col("_there").isNull().alias("missing"))
 
 
+@query("select l.doc_id, p.page_id is null as no_page, l.toxic from labels l left join pages p on p.page_id = l.doc_id where p.page_id is null or l.toxic <> 0")
+def completeness_of_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels that are incomplete (no page) or outside what is expected, none dropped."""
+    pages = table(spark, d, "pages").select("page_id").distinct()
+    rows = table(spark, d, "labels").join(pages, F.col("doc_id") == F.col("page_id"), "left")
+    return rows.where(F.col("page_id").isNull() | (F.col("toxic") != 0)).select("doc_id", F.col("page_id").isNull().alias("no_page"), "toxic")
+
+
 @query("with n as (select length(text) as n from documents where trim(coalesce(text, '')) <> '') select (select count(*) from documents)::bigint as keys, (select count(*) from documents where doc_id not in (select doc_id from labels))::bigint as unlabelled, (select min(n) from n)::bigint as shortest, (select list_sort(list(n))[(len(list(n)) // 2) + 1] from n)::bigint as upper_median")
 def coverage_report(spark: SparkSession, d: str) -> DataFrame:
     """Keys without a partner, the shortest text and the upper median length."""

@@ -103,7 +103,7 @@ def vector_norm_audit(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", "label", F.round(F.sqrt(retrieve.dot(v, v)), 9).alias("norm"))
 
 
-@query("select label, count(*)::bigint as n, sha256(string_agg(vec_id::varchar || chr(0) || (label * 10)::varchar, chr(0) order by vec_id)) as digest from embeddings group by label")
+@query("with b as (select label, vec_id // 4096 as block, count(*) as n, sha256(string_agg(vec_id::varchar || chr(0) || (label * 10)::varchar, chr(0) order by vec_id)) as d from embeddings group by all) select label, sum(n)::bigint as n, sha256(string_agg(d, chr(0) order by block)) as digest from b group by label")
 def index_digest(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").withColumn("v", F.col("label") * 10)
     return layers.ordered_digest(rows, ["label"], "vec_id", "v").select("label", "n", "digest")
