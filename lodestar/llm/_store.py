@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1_500_000
 
 #: Rows in an Arrow batch of texts: a worker holds one batch at a time, so its memory follows this and the longest text.
-TEXT_ROWS = 1000
+TEXT_ROWS = 500
 
 _own: dict[str, str] = {}
 

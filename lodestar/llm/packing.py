@@ -49,10 +49,11 @@ class WordIds(dict):
     words' ids in a row. It also cuts between letters and signs, so a plain word
     with signs after it is both in a row. Plain letter words go straight to the
     merge model; any other word takes the whole way. Two generations of at most
-    CACHE_WORDS words are held; a word of the older one that is met again moves on.
+    `most` words are held; a word of the older one that is met again moves on.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
+        self.most = most
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.bytes_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -63,7 +64,7 @@ class WordIds(dict):
         out = self.older.get(word)
         if out is None:
             out = self._learn(word)
-        if len(self) > CACHE_WORDS:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
             self[""] = b""
@@ -105,14 +106,15 @@ def _pack(ids) -> bytes:
     return out.tobytes()
 
 
-_words: dict[str, WordIds] = {}
+_words: dict[tuple[str, int], WordIds] = {}
 
 
-def _pieces(path: str, length: int, end_id: int, with_ids: bool):
+def _pieces(path: str, length: int, end_id: int, with_ids: bool, cache_words: int):
     end = _pack([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words.get(path) or _words.setdefault(path, WordIds(path))
+        key = (path, cache_words)
+        words = _words[key] if key in _words else _words.setdefault(key, WordIds(path, cache_words))
         for batch in batches:
             row, piece, start, size, crc, ids = [], [], [], [], [], []
             for i, t in enumerate(batch.column(0).to_pylist()):
@@ -137,13 +139,13 @@ def _pieces(path: str, length: int, end_id: int, with_ids: bool):
     return run
 
 
-def cut_into_pieces(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row per piece: the id column, piece, start, length, ids_crc32 and, with with_ids, the ids."""
+def cut_into_pieces(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """One row per piece: the id column, piece, start, length, ids_crc32 and, with with_ids, the ids. cache_words bounds what a worker keeps of words it has met."""
     bound_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     key = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(text).cast("string").alias("t"), F.col(doc_id).alias("key"))
-    out = rows.mapInArrow(_pieces(path, length, end_id, with_ids), f"key {key}, piece int, start long, length int, ids_crc32 long{', ids array<int>' if with_ids else ''}")
+    out = rows.mapInArrow(_pieces(path, length, end_id, with_ids, cache_words), f"key {key}, piece int, start long, length int, ids_crc32 long{', ids array<int>' if with_ids else ''}")
     return out.withColumnRenamed("key", doc_id)
 
 
@@ -315,9 +317,9 @@ def pack(pieces: DataFrame, *, length: int = LENGTH) -> DataFrame:
     return ranked.mapInArrow(_placer(np.array(plan.entries, np.int64), names), f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of all documents with their places; with with_ids also the token ids themselves."""
-    return pack(cut_into_pieces(docs, text=text, doc_id=doc_id, tokenizer=tokenizer, length=length, end_id=end_id, with_ids=with_ids), length=length)
+    return pack(cut_into_pieces(docs, text=text, doc_id=doc_id, tokenizer=tokenizer, length=length, end_id=end_id, with_ids=with_ids, cache_words=cache_words), length=length)
 
 
 def sequences(packed: DataFrame, *, length: int = LENGTH) -> DataFrame:
