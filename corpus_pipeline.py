@@ -6,7 +6,8 @@ returns the packed pieces. run() writes each stage's rows as Parquet in the
 folder that the cluster shares and reads them as the next one's docs.
 
 Defined cases: null and letterless texts are rejected by the first stage; an
-empty table runs through; rows with one id and text are one document.
+empty table runs through; of rows with one id and text one stays, and a repeated
+id loses only texts that are copies.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from lodestar.llm import langid, minhash, packing, pii, winnowing
 from lodestar.llm._store import store
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words that a packing worker keeps; workers live through all stages here, so fewer than in a job of its own.
+CACHE_WORDS = 80_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    packed = packing.pack_documents(docs)
+    packed = packing.pack_documents(docs, cache_words=CACHE_WORDS)
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
