@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.session import spread
 
 from . import langid, pii, toxicity
+from .line_dedup import line_dedup
 from .line_frequency import line_frequency_filter
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -158,3 +159,19 @@ def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_semi_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False)
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op12_line_dedup"] = r"""
+with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select r, doc_id, unnest(ls) as l, generate_subscripts(ls, 1) as i from d),
+k as (select *, translate(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+bad as (select key from k where length(key) >= 1 group by key having count(distinct r) >= 10)
+select doc_id, count(*)::bigint as n_lines, count(b.key)::bigint as n_dropped, sha256(coalesce(string_agg(l, chr(10) order by i) filter (b.key is null), '')) as kept_sha256
+from k left join bad b on k.key = b.key group by r, doc_id
+"""
