@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.session import spread
 
 from . import langid, pii, toxicity
+from .collocations import collocations
 from .line_dedup import line_dedup
 from .line_frequency import line_frequency_filter
 from .minhash import near_duplicates
@@ -175,3 +176,28 @@ bad as (select key from k where length(key) >= 1 group by key having count(disti
 select doc_id, count(*)::bigint as n_lines, count(b.key)::bigint as n_dropped, sha256(coalesce(string_agg(l, chr(10) order by i) filter (b.key is null), '')) as kept_sha256
 from k left join bad b on k.key = b.key group by r, doc_id
 """
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_collocations"] = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+total as (select lang, sum(len(ws))::bigint as n from w group by lang),
+g as (select lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') as phrase
+      from (select lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) as i from w, (values (1), (2), (3)) as v(k) where len(ws) >= k)),
+f as (select lang, k, phrase, count(*) as f from g group by all),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from f where k > 1 and f >= 10),
+cut as (select lang, phrase, k, a, j, array_to_string(list_slice(ws, 1, j), ' ') as x, array_to_string(list_slice(ws, j + 1, k), ' ') as y from c, (values (1), (2)) as v(j) where j < k),
+s as (select cut.lang, cut.phrase, a, j, l.f as l, r.f as r, ((1000000::hugeint * a::hugeint * a::hugeint) // (l.f::hugeint * r.f::hugeint))::bigint as score
+      from cut join f as l on l.lang = cut.lang and l.phrase = cut.x join f as r on r.lang = cut.lang and r.phrase = cut.y),
+best as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+part as (select lang, a, array_to_string(list_slice(ws, b, b + 1), ' ') as phrase from c, (values (1), (2)) as v(b) where k = 3),
+cover as (select lang, phrase, max(a) as longer from part group by all),
+out as (select lang, phrase, a, l, r, n, score from best join total using (lang) left join cover using (lang, phrase) where longer is null or 100 * longer < 50 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from out
+qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
+"""
