@@ -16,6 +16,7 @@ from .line_frequency import line_frequency_filter
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .suffix_dedup import remove_repeats
+from .time_tree import point_in_time
 from .token_rollup import maintain
 from .warc import archive_round_trip
 from .winnowing import contaminated, find_overlaps
@@ -201,3 +202,29 @@ out as (select lang, phrase, a, l, r, n, score from best join total using (lang)
 select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from out
 qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
 """
+
+
+@query
+def op11_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales, clicks, lines = (table(spark, sf_dir, name) for name in ("sales", "clicks", "sale_lines"))
+    at = F.col("sold") + F.coalesce(F.crc32(F.col("sale_id").cast("string")) % 259_200, F.lit(0)) * 1_000_000
+    return point_in_time(sales, clicks, lines, at)
+
+
+ORACLE_SQL["op11_point_in_time"] = r"""
+with c as (select row_number() over () as r, sale_id, client_id, total, sold_at, arrived_at, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(sale_id::varchar, ''), lambda x: ascii(x)::bigint)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda u, i: xor(u >> 1, 3988292384 * (u & 1))))) as crc
+      from sales where client_id is not null and sold_at is not null),
+s as (select r, sale_id, client_id, epoch_us(sold_at) as sold, epoch_us(arrived_at) + 14400000000 as seen, coalesce(floor(100 * total + 0.5), 0)::bigint as cents, epoch_us(sold_at) + coalesce(crc % 259200, 0) * 1000000 as t from c),
+k as (select client_id, click_id, epoch_us(ts) as ts, epoch_us(arrived_at) + 14400000000 as seen, coalesce(kind = 'purchase', false) as bought, coalesce(floor(100 * value + 0.5), 0)::bigint as cents from (select distinct * from clicks)),
+p as (select r, sale_id, client_id, t, d, t - d * 86400000000 as since from s, (values (2), (14)) as v(d)),
+lab as (select distinct a.r from s a join s b on a.client_id = b.client_id and b.sold > a.t and b.sold <= a.t + 604800000000),
+kc as (select r, d, count(*) as n, count(*) filter (bought) as b, sum(cents) as c, list(click_id order by k.ts desc, click_id desc nulls last)[1] as latest
+       from p join k on p.client_id = k.client_id and k.ts > since and k.ts <= t and k.seen <= t group by r, d),
+ps as (select p.r, d, p.t, s.sale_id, s.cents from p join s on p.client_id = s.client_id and s.sold > since and s.sold <= p.t and s.seen <= p.t),
+sc as (select r, d, count(*) as n, sum(cents) as c from ps group by r, d),
+lc as (select r, d, count(*) as n, count(distinct item_id) as i, sum(coalesce(floor(100 * amount + 0.5), 0))::bigint as c from ps join sale_lines l on l.sale_id = ps.sale_id and epoch_us(l.shipped_at) <= t group by r, d)
+select p.sale_id, p.d, p.t as t_us, lab.r is not null as label, coalesce(kc.n, 0)::bigint as n_clicks, coalesce(kc.b, 0)::bigint as n_purchases, coalesce(kc.c, 0)::bigint as click_cents, kc.latest as last_click_id,
+       coalesce(sc.n, 0)::bigint as n_sales, coalesce(sc.c, 0)::bigint as sale_cents, coalesce(lc.n, 0)::bigint as n_lines, coalesce(lc.i, 0)::bigint as n_items, coalesce(lc.c, 0)::bigint as line_cents
+from p left join lab using (r) left join kc using (r, d) left join sc using (r, d) left join lc using (r, d)
+"""
