@@ -43,7 +43,9 @@ from ._store import bound_batches, store
 MAX_N, MIN_COUNT, EXTENSION_PERCENT, TOP = 3, 10, 50, 2000
 FILTER_BITS, PARTS = 1 << 26, 64
 #: Bytes read at once, and bytes of words whose n-grams are counted together.
-BLOCK, HELD = 1 << 20, 24 << 20
+BLOCK, HELD = 1 << 20, 12 << 20
+#: Phrases in a batch that goes to Spark.
+ROWS = 1 << 15
 
 _BREAK = A.byte_set((0x0A, 0x0D))
 _BREAK[np.frombuffer(b".,;:!?", np.uint8)] = True
@@ -85,18 +87,18 @@ class _Words:
         broken = np.cumsum(_BREAK[data])[starts]
         goes_on = np.zeros(len(starts), bool)
         goes_on[:-1] = (broken[1:] == broken[:-1]) & (doc[1:] == doc[:-1])
-        size = ends - starts
+        size = (ends - starts).astype(np.int32)
         plain = np.full(int(size.sum()) + len(starts), 32, np.uint8)
         plain[np.arange(int(size.sum())) + np.repeat(np.arange(len(starts)), size)] = folded[inside]
-        lang = codes[doc]
+        lang = codes[doc].astype(np.int32)
         self.parts.append((plain, size, A.mix(A.span_hashes(_WORD[folded], starts, ends) ^ hashes[lang]), goes_on, lang))
         self.bytes += len(plain)
 
-    def grams(self, n: int, bits: np.ndarray | None, langs: list[str]) -> pa.RecordBatch:
-        """The n-grams of all words held, counted; bits tell the frequent (n-1)-grams."""
+    def grams(self, n: int, bits: np.ndarray | None, langs: list[str]) -> Iterator[pa.RecordBatch]:
+        """The n-grams of all words held, counted, in batches of ROWS; bits tell the frequent (n-1)-grams."""
         plain, size, words, goes_on, lang = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.__init__()
-        at = np.cumsum(size + 1) - size - 1
+        at = np.cumsum(size + 1, dtype=np.int64) - size - 1
         if n == 1:
             first = np.arange(len(words))
         else:
@@ -112,12 +114,15 @@ class _Words:
         for k in range(1, n):
             _, name = np.unique(name * (int(ids.max(initial=0)) + 1) + ids[first + k], return_inverse=True)
         _, where, f = np.unique(name, return_index=True, return_counts=True)
-        begin = first[where]
-        start, length = at[begin], at[begin + n - 1] + size[begin + n - 1] - at[begin]
-        offsets = np.concatenate([[0], np.cumsum(length)])
-        chars = plain[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], length)]
-        phrases = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(chars.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(lang[begin])), phrases.cast(pa.string()), pa.array(f.astype(np.int64))], names=["lang", "phrase", "f"])
+        names, begins = pa.array(langs, pa.string()), first[where]
+        del ids, name, words
+        for i in range(0, len(begins), ROWS):
+            begin = begins[i : i + ROWS]
+            start, length = at[begin], at[begin + n - 1] + size[begin + n - 1] - at[begin]
+            offsets = np.concatenate([[0], np.cumsum(length)])
+            chars = plain[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], length)]
+            phrases = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(chars.tobytes())])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[begin])), phrases.cast(pa.string()), pa.array(f[i : i + ROWS].astype(np.int64))], names=["lang", "phrase", "f"])
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,9 +162,9 @@ def _count(n: int, bits, block: int, most: int):
                 at = parts[i : j + 1]
                 held.add(data[at[0] : at[-1]], at - at[0], code[i:j], np.array(hashes, A.U64))
                 if held.bytes >= most:
-                    yield held.grams(n, bits and bits.value, list(codes))
+                    yield from held.grams(n, bits and bits.value, list(codes))
         if held.parts:
-            yield held.grams(n, bits and bits.value, list(codes))
+            yield from held.grams(n, bits and bits.value, list(codes))
 
     return run
 
