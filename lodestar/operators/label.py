@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order
+
 
 def draw_key(seed: int, *cols: str) -> Column:
     """A hash order that any engine can repeat: md5 of seed and id."""
@@ -20,12 +22,16 @@ def per_stratum(df: DataFrame, strata: list[str], id_: str, n: int, seed: int) -
 def round_robin(df: DataFrame, cell: str, id_: str, forced: Column, size: int, seed: int) -> DataFrame:
     """All forced rows, then one row of each cell in turn until the size is reached.
 
-    Only the first `size` rows of each cell can be drawn, so the global order is over size x cells rows.
+    Forced rows, of which there may be any number, get their places from ranges of (cell, id). Of the rest only the
+    first `size` rows of each cell can be drawn, and the first `size` of those in turn are taken by one sorted limit.
     """
-    rest = per_stratum(df.where(~forced), [cell], id_, size, seed).select(*df.columns, "draw", F.lit(False).alias("forced"))
-    must = df.where(forced).select(*df.columns, F.lit(0).alias("draw"), F.lit(True).alias("forced"))
-    order = Window.orderBy(F.desc("forced"), "draw", cell, id_)
-    return must.union(rest).withColumn("place", F.row_number().over(order)).where(F.col("forced") | (F.col("place") <= size))
+    must = order.places(df.where(forced), [cell, id_], "_at").withColumns({"draw": F.lit(0), "forced": F.lit(True), "place": F.col("_at") + 1})
+    total = must.agg(F.count(F.lit(1)).alias("_must"))
+    rest = per_stratum(df.where(~forced), [cell], id_, size, seed).orderBy("draw", cell, id_).limit(size)
+    turn = rest.withColumn("_at", F.row_number().over(Window.orderBy("draw", cell, id_))).crossJoin(F.broadcast(total))
+    drawn = turn.withColumns({"forced": F.lit(False), "place": F.col("_must") + F.col("_at")}).where(F.col("place") <= size)
+    names = [*df.columns, "draw", "forced", "place"]
+    return must.select(*names).union(drawn.select(*names))
 
 
 def easy_negatives(questions: DataFrame, corpus: DataFrame, matches: DataFrame, qid: str, did: str, n: int, seed: int, pool: int) -> DataFrame:

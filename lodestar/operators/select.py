@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order
+
 
 def split_valid(df: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
     """The rows that pass and those that don't; a null test does not pass, so no row is in neither."""
@@ -65,23 +67,17 @@ def most_common(df: DataFrame, value: str, n: int | None = None) -> DataFrame:
 def aligned(left: DataFrame, right: DataFrame, id_: str) -> DataFrame:
     """The i-th id of each side by order of ids, joined on i; a position of one side only stays.
 
-    Positions are counted in ranges of ids first, so no task sorts a whole side.
+    Positions come from ranges between sampled splitters, so no task sorts a whole side, however sparse its ids are.
     """
     a = positions(left, id_).select(F.col("position"), F.col(id_).alias("left_id"))
     b = positions(right, id_).select(F.col("position"), F.col(id_).alias("right_id"))
     return a.join(b, "position", "full").withColumn("agree", F.col("left_id").eqNullSafe(F.col("right_id")))
 
 
-def positions(df: DataFrame, id_: str, width: int = 65536) -> DataFrame:
-    """0-based place of each row by a whole-number id: counts of blocks of ids, then places within the blocks.
-
-    The counts of blocks, one row for each `width` ids, are summed in one small window.
-    """
-    rows = df.select(id_).withColumn("_block", F.floor(F.col(id_) / width))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_block").orderBy(id_)) - 1)
-    return inside.join(starts, "_block").select(id_, (F.col("_before") + F.col("_r")).alias("position"))
+def positions(df: DataFrame, id_: str) -> DataFrame:
+    """0-based place of each row by its id; rows of one id follow one another."""
+    counted = order.counts(df, id_, [])
+    return counted.select(id_, F.explode(F.sequence(F.col("before"), F.col("before") + F.col("c") - 1)).alias("position"))
 
 
 def same_sequence(df: DataFrame, by: str, id_: str, place_a: str, place_b: str) -> DataFrame:

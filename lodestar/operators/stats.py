@@ -5,50 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.stored import write_once
 
-#: Equal-width buckets of the range of a group's values; sums over buckets are the only global order there is.
-BUCKETS = 4096
-
-
-def running_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """by, value, c and before: how many rows of the group have the value and how many a smaller one; nulls are left out.
-
-    Rows are counted by value first, combined before the shuffle. Counts are summed over at most BUCKETS ranges of
-    values of a group, and only the different values of one range are ever put in order by one task.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    same = lambda a, b: [F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{x}")) for x in by]
-    ends = counts.groupBy(*by).agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"))
-    v, width = F.col(f"x.{value}").cast("double"), F.col("e._high") - F.col("e._low")
-    bucket = F.when(width > 0, F.least(F.lit(BUCKETS - 1), F.floor((v - F.col("e._low")) / width * BUCKETS))).otherwise(0).cast("int")
-    joined = counts.alias("x").join(ends.alias("e"), same("x", "e")) if by else counts.alias("x").crossJoin(F.broadcast(ends.alias("e")))
-    placed = joined.select("x.*", bucket.alias("_b"))
-    sums = placed.groupBy(*by, "_b").agg(F.sum("c").alias("_n"))  # at most BUCKETS rows a group
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    met = placed.alias("x").join(starts.alias("s"), [*same("x", "s"), F.col("x._b") == F.col("s._b")]).select("x.*", "s._start")
-    within = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return met.select(*by, value, "c", (F.col("_start") + F.coalesce(F.sum("c").over(within), F.lit(0))).alias("before"))
+from . import order
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """Df with the mean rank of each row's tie group; null for a null value."""
-    ranks = running_counts(df, value, by).select(*[F.col(x).alias(f"_g{i}") for i, x in enumerate(by)], F.col(value).alias("_v"), (F.col("before") + (F.col("c") + 1) / F.lit(2.0)).alias(name))
+    ranks = order.counts(df, value, by).select(*[F.col(x).alias(f"_g{i}") for i, x in enumerate(by)], F.col(value).alias("_v"), (F.col("before") + (F.col("c") + 1) / F.lit(2.0)).alias(name))
     return df.join(ranks, [F.col(value) == F.col("_v"), *[F.col(x).eqNullSafe(F.col(f"_g{i}")) for i, x in enumerate(by)]], "left").drop("_v", *[f"_g{i}" for i in range(len(by))])
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Pearson over average ranks; null under three pairs or without variance."""
-    used = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_ranks(average_ranks(used, x, by, "_rx"), y, by, "_ry")
-    good = (F.count(F.lit(1)) >= 3) & (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0)
-    rho = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(good, F.round(rho, 9)).alias("rho"))
+    """Pearson over average ranks; null under three pairs or without variance.
+
+    Rows are counted by (x, y) first. Both columns' values are ranked in one pass, as two axes of one table, and the
+    sums are taken over the different pairs.
+    """
+    pairs = write_once(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_n")), "pairs")
+    values = pairs.select(*by, F.col("_n"), F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col("_x").alias("v")), F.struct(F.lit(1).alias("axis"), F.col("_y").alias("v")))).alias("a"))
+    counted = values.groupBy(*by, F.col("a.axis").alias("_axis"), F.col("a.v").alias("_v")).agg(F.sum("_n").alias("c"))
+    ranks = write_once(order.running(counted, [*by, "_axis"], ["_v"], F.col("c")).withColumn("_rank", F.col("before") + (F.col("c") + 1) / F.lit(2.0)), "ranks")
+    for axis, (column, name) in enumerate((("_x", "_rx"), ("_y", "_ry"))):
+        own = ranks.where(F.col("_axis") == axis).select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], F.col("_v"), F.col("_rank").alias(name))
+        pairs = pairs.join(own, [F.col(column) == F.col("_v"), *[F.col(b).eqNullSafe(F.col(f"_g{i}")) for i, b in enumerate(by)]]).drop("_v", *[f"_g{i}" for i in range(len(by))])
+    n, a, b = F.sum("_n"), F.col("_rx"), F.col("_ry")
+    s = lambda e: F.sum(F.col("_n") * e)
+    va, vb, cov = s(a * a) - s(a) * s(a) / n, s(b * b) - s(b) * s(b) / n, s(a * b) - s(a) * s(b) / n
+    varied = (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry"))
+    sums = pairs.groupBy(*by).agg(n.alias("n"), va.alias("_va"), vb.alias("_vb"), cov.alias("_cov"), varied.alias("_varied"))
+    good = (F.col("n") >= 3) & F.col("_varied")
+    return sums.select(*by, "n", F.when(good, F.round(F.try_divide(F.col("_cov"), F.sqrt(F.col("_va") * F.col("_vb"))), 9)).alias("rho"))
 
 
 def quantile(df: DataFrame, value: str, q: float, by: list[str], name: str) -> DataFrame:
     """By and the value at q, linear between its neighbours, from counts; no rows, no quantile."""
-    counts = running_counts(df, value, by)
+    counts = order.counts(df, value, by)
     last = counts.groupBy(*by).agg((F.sum("c") - 1).alias("_last"))
     rows = counts.alias("x").join(last.alias("l"), [F.col(f"x.{b}").eqNullSafe(F.col(f"l.{b}")) for b in by]) if by else counts.alias("x").crossJoin(F.broadcast(last.alias("l")))
     at = F.col("_last") * F.lit(q)
@@ -61,7 +53,7 @@ def quantile(df: DataFrame, value: str, q: float, by: list[str], name: str) -> D
 
 def tertile_edges(df: DataFrame, value: str) -> DataFrame:
     """The sorted values at n div 3 and 2n div 3, from counts of values."""
-    counts = running_counts(df, value, [])
+    counts = order.counts(df, value, [])
     total = counts.agg(F.sum("c").alias("n"))
     edge = lambda k: F.min(F.when(F.col("before") + F.col("c") > F.floor(k * F.col("n") / 3), F.col(value)))
     return counts.crossJoin(F.broadcast(total)).agg(edge(1).alias("edge_low"), edge(2).alias("edge_high"))
@@ -104,10 +96,10 @@ def log_factorial(n: Column) -> Column:
 
 def holm(tests: DataFrame, p: str, alpha: float, *, id_: str) -> DataFrame:
     """Step-down: a test is rejected if it and all before it, by p, pass their thresholds. For a family of tests (a report's size)."""
-    order = Window.orderBy(p, id_)
+    by_p = Window.orderBy(p, id_)
     m = F.count(F.lit(1)).over(Window.partitionBy())
-    ranked = tests.withColumn("rank", F.row_number().over(order)).withColumn("threshold", F.lit(alpha) / (m - F.col("rank") + 1))
-    failed = F.max((F.col(p) > F.col("threshold")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = tests.withColumn("rank", F.row_number().over(by_p)).withColumn("threshold", F.lit(alpha) / (m - F.col("rank") + 1))
+    failed = F.max((F.col(p) > F.col("threshold")).cast("int")).over(by_p.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return ranked.withColumn("rejected", failed == 0)
 
 
