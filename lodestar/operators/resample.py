@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import stats
+from lodestar.stored import write_once
+
+from . import order, stats
 
 #: Cumulative probabilities of a Poisson(1) count, to 7 counts.
 POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
@@ -13,8 +15,25 @@ POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.9994058
 
 def uniform(seed: int, *cols: Column) -> Column:
     """A number in [0, 1) from the first 28 bits of an md5; the same in any engine."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("double") / F.lit(float(1 << 28))
+    return _number(F.substring(F.md5(_text(seed, *cols)), 1, 7))
+
+
+def _text(seed: int, *cols: Column) -> Column:
+    return F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols])
+
+
+def _number(hex_digits: Column) -> Column:
+    return F.conv(hex_digits, 16, 10).cast("double") / F.lit(float(1 << 28))
+
+
+#: Resamples that one md5 serves, with 28 bits each.
+SHARE = 4
+
+
+def uniforms(seed: int, *cols: Column) -> Column:
+    """SHARE numbers in [0, 1) from one md5, which a lambda variable holds so that it is made once."""
+    parts = lambda h: F.transform(F.sequence(F.lit(0), F.lit(SHARE - 1)), lambda i: _number(h.substr(i * 7 + 1, F.lit(7))))
+    return F.transform(F.array(F.md5(_text(seed, *cols))), parts)[0]
 
 
 def weight(u: Column) -> Column:
@@ -22,28 +41,45 @@ def weight(u: Column) -> Column:
     return sum(((u >= c).cast("int") for c in POISSON[1:]), (u >= POISSON[0]).cast("int"))
 
 
-def resamples(units: DataFrame, id_: str, draws: int, seed: int) -> DataFrame:
-    """units x draws with the number w of times that each was drawn; rows that were not are left out."""
-    rows = units.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    return rows.withColumn("w", weight(uniform(seed, F.col("draw"), F.col(id_)))).where("w > 0")
+def totals(units: DataFrame, id_: str, values: dict[str, Column], draws: int, seed: int) -> DataFrame:
+    """draw and, for each named value, its sum over a resample, each unit as often as it was drawn.
 
+    Draws 4b + 1 to 4b + 4 read the four 28-bit parts of one md5 of (seed, b, id). One partial aggregation over units x
+    draws / 4 rows with a sum for each value and part; nothing is kept of a draw but its sums.
+    """
+    rows = units.select(F.col(id_).alias("_id"), *[v.alias(n) for n, v in values.items()]).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // SHARE) - 1))))
+    drawn = F.transform(uniforms(seed, F.col("_b"), F.col("_id")), weight)
+    rows = rows.select("_b", *values, F.explode(F.array(drawn)).alias("_w"))  # the generator keeps the weights from being made for each sum
+    summed = rows.groupBy("_b").agg(*[F.sum(F.col("_w")[i] * F.col(n)).alias(f"{n}_{i}") for i in range(SHARE) for n in values])
+    each = F.array(*[F.struct((F.col("_b") * SHARE + i + 1).alias("draw"), *[F.col(f"{n}_{i}").alias(n) for n in values]) for i in range(SHARE)])
+    return summed.select(F.explode(each).alias("r")).select("r.*").where(F.col("draw") <= draws)
 
-def paired_bootstrap(pairs: DataFrame, id_: str, difference: str, draws: int, seed: int, level: float = 0.95) -> DataFrame:
-    """Mean difference of matched pairs with its percentile interval and two-sided p; one row, of nulls without pairs.
 
-    One partial aggregation over draws x pairs; the draws' means are a list of `draws` rows.
-    """
-    used = pairs.where(F.col(difference).isNotNull())
-    means = resamples(used, id_, draws, seed).groupBy("draw").agg((F.sum(F.col("w") * F.col(difference)) / F.sum("w")).alias("stat"))
+def ends(resampled: DataFrame, level: float = 0.95) -> DataFrame:
+    """One row of the percentile interval of stat, how many are on either side of 0, and how many there are."""
     a = (1 - level) / 2
-    ends = means.agg(
+    return resampled.agg(
         F.round(F.percentile("stat", a), 6).alias("ci_low"), F.round(F.percentile("stat", 1 - a), 6).alias("ci_high"),
         F.count_if(F.col("stat") <= 0).alias("_below"), F.count_if(F.col("stat") >= 0).alias("_above"), F.count("stat").alias("draws"),
     )
+
+
+def p_value() -> Column:
+    """Twice the smaller tail with one more draw than there were; null without draws."""
+    return F.when(F.col("draws") > 0, F.round(F.least(F.lit(1.0), 2.0 * (F.least("_below", "_above") + 1) / (F.col("draws") + 1)), 6))
+
+
+def excludes_zero() -> Column:
+    return (F.col("ci_low") > 0) | (F.col("ci_high") < 0)
+
+
+def paired_bootstrap(pairs: DataFrame, id_: str, difference: str, draws: int, seed: int, level: float = 0.95) -> DataFrame:
+    """Mean difference of matched pairs with its percentile interval and two-sided p; one row, of nulls without pairs."""
+    used = pairs.where(F.col(difference).isNotNull())
+    means = totals(used, id_, {"s": F.col(difference), "c": F.lit(1)}, draws, seed).select("draw", F.try_divide(F.col("s"), F.col("c")).alias("stat"))
     point = used.agg(F.round(F.avg(difference), 6).alias("point"), F.count(F.lit(1)).alias("pairs"))
-    p = F.when(F.col("draws") > 0, F.round(F.least(F.lit(1.0), 2.0 * (F.least("_below", "_above") + 1) / (F.col("draws") + 1)), 6))
-    out = point.crossJoin(F.broadcast(ends))
-    return out.select("point", "ci_low", "ci_high", ((F.col("ci_low") > 0) | (F.col("ci_high") < 0)).alias("excludes_zero"), p.alias("p_value"), "pairs", "draws")
+    out = point.crossJoin(F.broadcast(ends(means, level)))
+    return out.select("point", "ci_low", "ci_high", excludes_zero().alias("excludes_zero"), p_value().alias("p_value"), "pairs", "draws")
 
 
 def equivalence(interval: DataFrame, band: float) -> DataFrame:
@@ -64,34 +100,77 @@ def probe(scored: DataFrame, id_: str, older: str, newer: str, draws: int, seed:
     return out.withColumn("direction", direction(F.col("point"), F.col("excludes_zero")))
 
 
-def bootstrap_spearman(units: DataFrame, id_: str, x: str, y: str, draws: int, seed: int, level: float = 0.95) -> DataFrame:
+def bootstrap_spearman(units: DataFrame, x: str, y: str, draws: int, seed: int, level: float = 0.95) -> DataFrame:
     """Interval of the rank correlation, ranks made anew in every resample.
 
-    A resample's ties come from counts of values, so a draw of n units sorts n rows at most; draws are the groups.
+    Units are counted by (x, y) first, and a pair of c units is drawn Poisson(c) times, so a draw costs its different
+    pairs. The order of the values is the same in every draw: it is found once, and a draw's ranks are sums of its
+    weights over at most SPAN values and over the spans before, so no window holds a draw.
     """
-    drawn = resamples(units.where(F.col(x).isNotNull() & F.col(y).isNotNull()), id_, draws, seed)
-    ranks = {}
-    for name, column in (("rx", x), ("ry", y)):
-        counts = drawn.groupBy("draw", column).agg(F.sum("w").alias("c"))
-        from pyspark.sql import Window
-
-        upto = F.sum("c").over(Window.partitionBy("draw").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        ranks[name] = counts.select(F.col("draw").alias(f"d{name}"), F.col(column).alias(f"v{name}"), (upto - (F.col("c") - 1) / 2.0).alias(name))
-    both = drawn
-    for name, column in (("rx", x), ("ry", y)):
-        both = both.join(ranks[name], (F.col("draw") == F.col(f"d{name}")) & (F.col(column) == F.col(f"v{name}")))
+    used = units.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = write_once(used.groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("c")), "pairs")
+    for axis in ("x", "y"):
+        at = order.places(pairs.select(axis).distinct(), [axis], f"{axis}_at")
+        pairs = pairs.join(at, axis)
+    pairs = write_once(pairs.select("x_at", "y_at", "c", F.when(F.col("c") > 1, steps(F.col("c"))).alias("steps")), "pairs")
+    rows = pairs.repartition("x_at", "y_at").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // SHARE) - 1))))
+    # the places of x and y name a pair: the same in any engine, and in any order of rows
+    rows = rows.select("x_at", "y_at", "c", "steps", "_b", F.posexplode(uniforms(seed, F.col("_b"), F.col("x_at"), F.col("y_at"))).alias("_i", "u")).withColumn("draw", F.col("_b") * SHARE + F.col("_i") + 1)
+    w = F.when(F.col("c") == 1, weight(F.col("u"))).otherwise(reached(F.col("steps"), F.col("u")))
+    drawn = rows.where(F.col("draw") <= draws).select(F.col("draw").cast("int").alias("draw"), "x_at", "y_at", w.cast("int").alias("w"))
+    once = write_once(drawn.where("w > 0"), "drawn")  # read three times
+    drawn = once
+    for axis in ("x", "y"):
+        drawn = drawn.join(_ranks(once, f"{axis}_at", f"r{axis}"), ["draw", f"{axis}_at"])
     s = lambda e: F.sum(F.col("w") * e)
     a, b = F.col("rx"), F.col("ry")
-    sums = both.groupBy("draw").agg(F.sum("w").alias("n"), s(a).alias("sa"), s(b).alias("sb"), s(a * b).alias("sab"), s(a * a).alias("saa"), s(b * b).alias("sbb"))
+    sums = drawn.groupBy("draw").agg(F.sum("w").alias("n"), s(a).alias("sa"), s(b).alias("sb"), s(a * b).alias("sab"), s(a * a).alias("saa"), s(b * b).alias("sbb"))
     cov, va, vb = (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n"), F.col("saa") - F.col("sa") * F.col("sa") / F.col("n"), F.col("sbb") - F.col("sb") * F.col("sb") / F.col("n"))
     rho = sums.select(F.when((F.col("n") >= 3) & (va > 1e-9) & (vb > 1e-9), cov / F.sqrt(va * vb)).alias("stat")).where("stat is not null")
-    q = (1 - level) / 2
-    return rho.agg(F.round(F.percentile("stat", q), 6).alias("ci_low"), F.round(F.percentile("stat", 1 - q), 6).alias("ci_high"), F.count(F.lit(1)).alias("draws"))
+    return ends(rho, level).select("ci_low", "ci_high", "draws")
+
+
+#: Values that one window of a draw holds at most.
+SPAN = 4096
+
+
+def _ranks(drawn: DataFrame, at: str, name: str) -> DataFrame:
+    """draw, at and the mean rank of the drawn units with the value at that place."""
+    counts = drawn.groupBy("draw", at).agg(F.sum("w").alias("_c")).withColumn("_s", F.floor(F.col(at) / SPAN))
+    within = Window.partitionBy("draw", "_s").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = counts.groupBy("draw", "_s").agg(F.sum("_c").alias("_n"))
+    earlier = Window.partitionBy("draw").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = spans.select("draw", "_s", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    upto = counts.withColumn("_upto", F.sum("_c").over(within)).join(starts, ["draw", "_s"])
+    return upto.select("draw", at, (F.col("_start") + F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(name))
+
+
+def steps(mean: Column) -> Column:
+    """The cumulative probabilities of a Poisson count with a whole mean, rounded to 12 places.
+
+    Terms past mean + 12 sqrt(mean) + 20 are below a double's last digit.
+    """
+    m = mean.cast("double")
+    last = F.ceil(m + 12 * F.sqrt(m) + 20).cast("int")
+    term = lambda k: F.exp(k * F.ln(m) - m - stats.log_factorial(k))
+    start = F.struct(F.lit(0.0).alias("p"), F.array().cast("array<double>").alias("all"))
+
+    def step(acc: Column, k: Column) -> Column:
+        p = acc["p"] + term(k)
+        return F.struct(p.alias("p"), F.array_append(acc["all"], F.round(p, 12)).alias("all"))
+
+    return F.aggregate(F.sequence(F.lit(0), last), start, step)["all"]
+
+
+def reached(steps: Column, u: Column) -> Column:
+    """How often a pair is drawn: how many of its steps the uniform number reaches."""
+    return F.size(F.filter(steps, lambda p: p <= u))
 
 
 def cluster_rate(rows: DataFrame, cluster: str, value: Column, draws: int, seed: int) -> DataFrame:
-    """R01 with md5 draws: a rate with the percentile interval of whole-cluster resamples."""
+    """A rate with the percentile interval of whole-cluster resamples and its two-sided p against 0."""
     sums = stats.cluster_sums(rows, cluster, value)
-    drawn = resamples(sums, cluster, draws, seed).groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c"))).alias("stat"))
-    ends = drawn.agg(F.round(F.percentile("stat", 0.025), 6).alias("ci_low"), F.round(F.percentile("stat", 0.975), 6).alias("ci_high"))
-    return sums.agg(F.round(F.sum("s") / F.sum("c"), 6).alias("rate"), F.count(F.lit(1)).alias("clusters")).crossJoin(F.broadcast(ends))
+    drawn = totals(sums, cluster, {"s": F.col("s"), "c": F.col("c")}, draws, seed).select("draw", F.try_divide(F.col("s"), F.col("c")).alias("stat"))
+    point = sums.agg(F.round(F.sum("s") / F.sum("c"), 6).alias("rate"), F.count(F.lit(1)).alias("clusters"))
+    out = point.crossJoin(F.broadcast(ends(drawn)))
+    return out.select("rate", "clusters", "ci_low", "ci_high", excludes_zero().alias("excludes_zero"), F.coalesce(p_value(), F.lit(1.0)).alias("p_value"), "draws")

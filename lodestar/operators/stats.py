@@ -108,32 +108,6 @@ def cluster_sums(df: DataFrame, cluster: str, value: Column) -> DataFrame:
     return df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
 
 
-def cluster_bootstrap(clusters: DataFrame, cluster: str, draws: int, seed: int) -> DataFrame:
-    """The statistic sum(s)/sum(c) of each of `draws` resamples of whole clusters.
-
-    Instead of drawing rows, each resample weighs each cluster by a hash-drawn
-    Poisson(1) count, which needs no numbering of clusters and no join: one
-    partial aggregation over draws x clusters.
-    """
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", cluster), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    cut = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum(((u >= c).cast("int") for c in cut[1:]), (u >= cut[0]).cast("int"))
-    rows = clusters.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    return rows.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("c"))).alias("stat"))
-
-
-def interval(resamples: DataFrame, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the resampled statistic."""
-    a = (1 - level) / 2
-    return resamples.agg(F.percentile("stat", a).alias("low"), F.percentile("stat", 1 - a).alias("high"), F.count("stat").alias("draws"))
-
-
-def against_null(resamples: DataFrame, null: float = 0.0) -> DataFrame:
-    """Two-sided p-value, twice the smaller tail with one more draw than there were; 1 without draws."""
-    below, above, n = F.count_if(F.col("stat") <= null), F.count_if(F.col("stat") >= null), F.count("stat")
-    return resamples.agg(F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2.0 * (F.least(below, above) + 1) / (n + 1))).alias("p_value"))
-
-
 def overlap(a: Column, b: Column) -> dict[str, Column]:
     """Sizes and Jaccard of two id arrays; null if both are empty."""
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))

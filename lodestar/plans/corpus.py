@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.catalog import ORACLE_SQL, query, table
+from lodestar.catalog import query, table
 from lodestar.functions import text as X
 from lodestar.operators import layers, retrieve
 
@@ -174,20 +174,9 @@ def ordered_digest(spark: SparkSession, d: str) -> DataFrame:
     return layers.ordered_digest(table(spark, d, "documents"), ["lang"], "doc_id", "n_chars").select("n", "digest", "lang")
 
 
-@query(f"""with d as (select doc_id, len({T3}) as n, {T3} as t from documents), b as (select {T3} as q from benchmark where item_id = 0)
-select doc_id, case when len(q) = 0 then 0 when len(list_intersect(q, t)) / len(q) >= 0.6 then 2 when len(list_intersect(q, t)) / len(q) >= 0.3 then 1 else 0 end as suggested, coalesce(array_to_string(list_slice(list_sort(list_intersect(q, t)), 1, 12), ' '), '') as matched from d, b""")
-def label_suggestion(spark: SparkSession, d: str) -> DataFrame:
-    """The first question against every document; label_suggestion_whole takes every question."""
-    first = _questions(spark, d).where("item_id = 0").select(X.annotation_terms(F.col("text")).alias("q"))
-    rows = table(spark, d, "documents").select("doc_id", X.annotation_terms(F.col("text")).alias("t")).crossJoin(F.broadcast(first))
-    share = F.try_divide(F.size(F.array_intersect("q", "t")).cast("double"), F.size("q").cast("double"))
-    label = F.when(F.size("q") == 0, 0).when(share >= 0.6, 2).when(share >= 0.3, 1).otherwise(0)
-    return rows.select("doc_id", label.alias("suggested"), F.array_join(F.slice(F.array_sort(F.array_intersect("q", "t")), 1, 12), " ").alias("matched"))
-
-
 @query(f"""with d as (select doc_id, {T3} as t from documents), b as (select item_id, {T3} as q from benchmark), p as (select item_id, doc_id, len(q) as n, list_intersect(q, t) as m from d, b)
 select item_id, doc_id, case when len(m) / n >= 0.6 then 2 when len(m) / n >= 0.3 then 1 else 0 end as suggested, array_to_string(list_slice(list_sort(m), 1, 12), ' ') as matched from p where len(m) > 0""")
-def label_suggestion_whole(spark: SparkSession, d: str) -> DataFrame:
+def label_suggestion(spark: SparkSession, d: str) -> DataFrame:
     """Every question against every document with one of its terms; any other pair has label 0 and no match."""
     q = _questions(spark, d).select("item_id", X.annotation_terms(F.col("text")).alias("q")).select("item_id", F.size("q").alias("n"), F.explode("q").alias("term"))
     t = retrieve.terms(table(spark, d, "documents"), "doc_id", X.annotation_terms(F.col("text")))
@@ -200,25 +189,15 @@ def label_suggestion_whole(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {CHUNKS}, {Q_TERMS}, {C_TERMS}, n as (select count(*) as n from uniq), f as (select w.term, count(c.chunk_id) as df from (select distinct term from q) w left join c using (term) group by w.term),
 wq as (select item_id, q.term, ln((n + 1.0) / (df + 1.0)) + 1.0 as w from q join f using (term), n), tot as (select item_id, count(*) as n, sum(w) as total from wq group by item_id),
 h as (select item_id, chunk_id, count(*) as m, sum(w) as hit from wq join c using (term) group by all)
-select item_id, chunk_id, m::bigint as matched, round(least(1.0, 0.5 * m / tot.n + 0.5 * hit / total), 9) as support from h join tot using (item_id) where m >= 2""")
+select item_id, chunk_id, m::bigint as matched, round(least(1.0, 0.5 * m / tot.n + 0.5 * hit / total), 9) as support from h join tot using (item_id)""")
 def support_sigma(spark: SparkSession, d: str) -> DataFrame:
-    """M01 for every question and chunk that share at least two terms."""
-    return _support(spark, d, 2)
-
-
-@query(ORACLE_SQL["support_sigma"].replace(" where m >= 2", ""))
-def support_sigma_whole(spark: SparkSession, d: str) -> DataFrame:
     """M01 for every question and chunk that share a term; all other pairs have support 0."""
-    return _support(spark, d, 1)
-
-
-def _support(spark: SparkSession, d: str, least: int) -> DataFrame:
     from lodestar.operators import admit
 
     q, c = _q_terms(spark, d), _c_terms(spark, d)
     size = _unique_chunks(spark, d).agg(F.count(F.lit(1)).alias("corpus"))
     frequency = retrieve.document_frequency(c, q.select("term").distinct()).crossJoin(F.broadcast(size))
-    return admit.support_of_matches(q, c, frequency, "item_id", "chunk_id", F.col("corpus")).where(F.col("matched") >= least)
+    return admit.support_of_matches(q, c, frequency, "item_id", "chunk_id", F.col("corpus"))
 
 
 LINES = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"

@@ -221,26 +221,6 @@ def holm_step_down(spark: SparkSession, d: str) -> DataFrame:
     return stats.holm(tests, "p", 0.05, id_="event_type").select("event_type", "p", "rank", "rejected")
 
 
-@query()
-def cluster_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """The admission rate with its clustered interval and test against 0 over 1,000 resamples."""
-    return _bootstrap(spark, d, 1000)
-
-
-@query()
-def cluster_bootstrap_ci_whole(spark: SparkSession, d: str) -> DataFrame:
-    """R01 over the reference's 10,000 resamples."""
-    return _bootstrap(spark, d, 10_000)
-
-
-def _bootstrap(spark: SparkSession, d: str, draws: int) -> DataFrame:
-    clusters = stats.cluster_sums(decisions(spark, d), "user_id", F.col("admitted").cast("int"))
-    point = clusters.agg((F.sum("s") / F.sum("c")).alias("rate"))
-    resamples = stats.cluster_bootstrap(clusters, "user_id", draws, 20260910)
-    out = stats.interval(resamples).crossJoin(F.broadcast(stats.against_null(resamples))).crossJoin(F.broadcast(point))
-    return out.withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
-
-
 @query("select quantile_cont(value, 0.75) as tau from events where value is not null and isfinite(value)")
 def percentile_tau(spark: SparkSession, d: str) -> DataFrame:
     good = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))

@@ -9,8 +9,9 @@ from lodestar.catalog import query, table
 from lodestar.operators import compare, resample, stats
 from lodestar.plans.evidence import CAND, decisions
 from lodestar.plans.judgement import SHEET, _judged
+from lodestar.stored import write_once
 
-DRAWS, SEED, BAND = 400, 20260910, 0.05
+DRAWS, SEED, BAND = 10_000, 20260910, 0.05
 
 
 def uniform_sql(draw: str, id_: str, seed: int = SEED) -> str:
@@ -22,8 +23,10 @@ def weight_sql(u: str) -> str:
 
 
 def drawn_sql(units: str, id_: str, draws: int = DRAWS) -> str:
-    """units x draws with w, as a subquery."""
-    return f"(select * from (select *, {weight_sql('u')} as w from (select q.*, draw, {uniform_sql('draw', id_)}::double as u from {units} q, generate_series(1, {draws}) g(draw))) where w > 0)"
+    """units x draws with w, as a subquery; the four parts of an md5 serve four draws."""
+    hashed = f"select q.*, b, md5('{SEED}:' || b || ':' || {id_}) as h from {units} q, generate_series(0, {-(-draws // resample.SHARE) - 1}) g(b)"
+    parts = f"select * exclude (h, b, j), b * {resample.SHARE} + j + 1 as draw, (('0x' || substr(h, 7 * j + 1, 7))::int / 268435456.0)::double as u from ({hashed}), generate_series(0, {resample.SHARE - 1}) k(j)"
+    return f"(select * from (select *, {weight_sql('u')} as w from ({parts})) where w > 0 and draw <= {draws})"
 
 
 PAIRS = """old as (select o_custkey as id, arg_min(o_totalprice, (o_orderdate, o_orderkey)) as a, arg_max(o_totalprice, (o_orderdate, o_orderkey)) as b, min(o_orderdate) as t1, max(o_orderdate) as t2 from orders group by o_custkey),
@@ -83,15 +86,18 @@ def _rank_sql(column: str, name: str) -> str:
 
 
 def _spearman_sql(units: str, x: str, y: str) -> str:
-    return f"""dr as {drawn_sql(units, 'id')}, {_rank_sql(x, 'rx')}, {_rank_sql(y, 'ry')}, z as (select dr.draw, sum(w) as n, sum(w * rx.r) as sa, sum(w * ry.r) as sb, sum(w * rx.r * ry.r) as sab, sum(w * rx.r * rx.r) as saa, sum(w * ry.r * ry.r) as sbb from dr join rx on rx.draw = dr.draw and rx.v = dr.{x} join ry on ry.draw = dr.draw and ry.v = dr.{y} group by dr.draw),
+    return f"""pr as (select x, y, c, dense_rank() over (order by x) - 1 as x_at, dense_rank() over (order by y) - 1 as y_at from (select {x}::double as x, {y}::double as y, count(*) as c from {units} group by all) where x is not null and y is not null),
+pc as (select c, list(p order by k) as ps from (select c, k, round(sum(exp(k * ln(c) - c - lgamma(k + 1))) over (partition by c order by k rows unbounded preceding), 12) as p from (select c, unnest(generate_series(0, ceil(c + 12 * sqrt(c) + 20)::int)) as k from (select distinct c from pr))) group by c),
+dr as (select * from (select draw, x_at, y_at, case when c = 1 then {weight_sql('u')} else len(list_filter(ps, lambda p: u >= p)) end as w
+ from (select * exclude (h, b, j), b * {resample.SHARE} + j + 1 as draw, (('0x' || substr(h, 7 * j + 1, 7))::int / 268435456.0)::double as u from (select pr.*, ps, b, md5('{SEED}:' || b || ':' || x_at || ':' || y_at) as h from pr join pc using (c), generate_series(0, {-(-DRAWS // resample.SHARE) - 1}) g(b)), generate_series(0, {resample.SHARE - 1}) k(j)) where draw <= {DRAWS}) where w > 0),
+{_rank_sql('x_at', 'rx')}, {_rank_sql('y_at', 'ry')}, z as (select dr.draw, sum(w) as n, sum(w * rx.r) as sa, sum(w * ry.r) as sb, sum(w * rx.r * ry.r) as sab, sum(w * rx.r * rx.r) as saa, sum(w * ry.r * ry.r) as sbb from dr join rx on rx.draw = dr.draw and rx.v = dr.x_at join ry on ry.draw = dr.draw and ry.v = dr.y_at group by dr.draw),
 rho as (select (sab - sa * sb / n) / sqrt((saa - sa * sa / n) * (sbb - sb * sb / n)) as stat from z where n >= 3 and saa - sa * sa / n > 1e-9 and sbb - sb * sb / n > 1e-9)"""
 
 
 @query(f"with {CAND}, {SHEET}, ju as (select event_id as id, support as x, label as y from sheet join adm using (event_id)), {_spearman_sql('ju', 'x', 'y')} select round(quantile_cont(stat, 0.025), 6) as ci_low, round(quantile_cont(stat, 0.975), 6) as ci_high, count(*)::bigint as draws from rho")
 def bootstrap_spearman(spark: SparkSession, d: str) -> DataFrame:
     """Rank correlation of a score with judgements, resampled."""
-    rows = _judged(spark, d).select(F.col("event_id").alias("id"), F.col("support").alias("x"), F.col("label").alias("y"))
-    return resample.bootstrap_spearman(rows, "id", "x", "y", DRAWS, SEED)
+    return resample.bootstrap_spearman(_judged(spark, d), "support", "label", DRAWS, SEED)
 
 
 def _rate_sql(name: str, test: str) -> str:
@@ -108,7 +114,7 @@ ARMS = {"first": "admitted", "second": "support >= 0.5", "either": "admitted or
 @query(f"with {CAND}, " + ", ".join(_rate_sql(k, v) for k, v in ARMS.items()) + ", t as (" + " union all ".join(_rate_row(k) for k in ARMS) + "), k as (select count(*) filter (where admitted and support >= 0.5)::bigint as both_arms, count(*) filter (where admitted and support < 0.5)::bigint as only_first, count(*) filter (where not admitted and support >= 0.5)::bigint as only_second, round(2 * asin(sqrt(avg(admitted::int))) - 2 * asin(sqrt(avg((support >= 0.5)::int))), 9) as h from adm) select * from t, k")
 def admission_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Rates of both arms and of either with clustered intervals, their two-by-two table and effect size."""
-    rows = decisions(spark, d).select("user_id", "admitted", (F.col("support") >= 0.5).alias("second"))
+    rows = write_once(decisions(spark, d).select("user_id", "admitted", (F.col("support") >= 0.5).alias("second")), "arms")
     tests = {"first": F.col("admitted"), "second": F.col("second"), "either": F.col("admitted") | F.col("second")}
     parts = [resample.cluster_rate(rows, "user_id", t.cast("int"), DRAWS, SEED).select(F.lit(n).alias("statistic"), "rate", "clusters", "ci_low", "ci_high") for n, t in tests.items()]
     square = compare.contingency(rows, "admitted", "second").select(F.col("both").alias("both_arms"), F.col("only_a").alias("only_first"), F.col("only_b").alias("only_second"))
@@ -125,12 +131,18 @@ def evidence_quality_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Judgements joined with decisions, a resampled rank correlation for each score, in the order of how far they are from none."""
     from pyspark.sql import Window
 
-    judged = _judged(spark, d)
+    judged = write_once(_judged(spark, d).select(*SCORES, "label"), "judged")
     parts = None
     for s in SCORES:
-        rows = judged.select(F.col("event_id").alias("id"), F.col(s).cast("double").alias("x"), F.col("label").alias("y"))
-        one = resample.bootstrap_spearman(rows, "id", "x", "y", DRAWS, SEED).withColumn("score", F.lit(s))
+        one = resample.bootstrap_spearman(judged, s, "label", DRAWS, SEED).withColumn("score", F.lit(s))
         parts = one if parts is None else parts.union(one)
     order = Window.orderBy(F.round(F.abs(F.col("ci_high") + F.col("ci_low")), 6), "score")
     n = judged.agg(F.count(F.lit(1)).alias("judged"))
     return parts.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(n)).select("score", "ci_low", "ci_high", "draws", "place", "judged")
+
+
+@query(f"""with {CAND}, {_rate_sql('a', 'admitted')}, e as (select round(quantile_cont(stat, 0.025), 6) as ci_low, round(quantile_cont(stat, 0.975), 6) as ci_high, count(*) filter (where stat <= 0) as below, count(*) filter (where stat >= 0) as above, count(*)::bigint as draws from a_m)
+select round((select sum(s) / sum(c) from a_u), 6)::double as rate, (select count(*) from a_u)::bigint as clusters, ci_low, ci_high, ci_low > 0 or ci_high < 0 as excludes_zero, round(least(1.0, 2.0 * (least(below, above) + 1) / (draws + 1)), 6)::double as p_value, draws from e""")
+def cluster_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+    """The admission rate with the interval of 10,000 resamples of whole questions and its test against 0."""
+    return resample.cluster_rate(decisions(spark, d), "user_id", F.col("admitted").cast("int"), DRAWS, SEED)

@@ -1,29 +1,25 @@
 """Queries over the vector index: exact top-k, quotas, shards, reranking.
 
-The first 20 vectors are the query set of the plain names, as their SQL states; `..._whole` takes every row
-whose id is divisible by EVERY, so that its query set grows with the index.
+The query set is every row whose id is divisible by EVERY, so it grows with the index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.catalog import ORACLE_SQL, query, table
+from lodestar.catalog import query, table
 from lodestar.operators import layers, retrieve
 
-K, QUERIES, EVERY = 5, 20, 50
+K, EVERY = 5, 50
 DOT = "list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: z[1]::double * z[2]::double))"
-PAIRS = f"pairs as (select q.vec_id as query_id, e.vec_id as id, e.label, e.vec_id % 4 as shard, round({DOT}, 9) as score from embeddings q, embeddings e where q.vec_id < {QUERIES})"
+PAIRS = f"pairs as (select q.vec_id as query_id, e.vec_id as id, e.label, e.vec_id % 4 as shard, round({DOT}, 9) as score from embeddings q, embeddings e where q.vec_id % {EVERY} = 0)"
 
 
-def _sides(spark: SparkSession, d: str, whole: bool) -> tuple[DataFrame, DataFrame]:
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings")
     corpus = e.select(F.col("vec_id").alias("id"), "embedding", "label", (F.col("vec_id") % 4).alias("shard"))
-    asked = F.col("vec_id") % EVERY == 0 if whole else F.col("vec_id") < QUERIES
-    return e.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), corpus
+    return e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), corpus
 
 
 def _out(df: DataFrame, *extra: str) -> DataFrame:
@@ -31,72 +27,58 @@ def _out(df: DataFrame, *extra: str) -> DataFrame:
 
 
 @query(f"with {PAIRS} select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from pairs qualify rank <= {K}")
-def knn_topk(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return _out(retrieve.knn(*_sides(spark, d, whole), K))
+def knn_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _out(retrieve.knn(*_sides(spark, d), K))
 
 
 @query(f"with {PAIRS} select query_id, id, label, score, row_number() over (partition by query_id, label order by score desc, id)::int as rank from pairs qualify rank <= {K}")
-def knn_balanced(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def knn_balanced(spark: SparkSession, d: str) -> DataFrame:
     """The same quota from every corpus."""
-    return _out(retrieve.knn(*_sides(spark, d, whole), K, "label"), "label")
+    return _out(retrieve.knn(*_sides(spark, d), K, "label"), "label")
 
 
 @query(f"with {PAIRS} select query_id, id, shard, score, row_number() over (partition by query_id, shard order by score desc, id)::int as rank from pairs qualify rank <= {K}")
-def knn_shard_concat(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def knn_shard_concat(spark: SparkSession, d: str) -> DataFrame:
     """W02, concat: each shard's own top-k, stacked."""
-    return _out(retrieve.knn(*_sides(spark, d, whole), K, "shard"), "shard")
+    return _out(retrieve.knn(*_sides(spark, d), K, "shard"), "shard")
 
 
 @query(f"with {PAIRS} select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from pairs qualify rank <= {K}")
-def knn_native(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def knn_native(spark: SparkSession, d: str) -> DataFrame:
     """The specification in built-in expressions."""
-    return _out(retrieve.top(retrieve.knn_pairs(*_sides(spark, d, whole)), ["query_id"], [F.desc("score"), F.col("id")], K))
+    return _out(retrieve.top(retrieve.knn_pairs(*_sides(spark, d)), ["query_id"], [F.desc("score"), F.col("id")], K))
 
 
 POOL = f"{PAIRS}, pool as (select query_id, id, label, score, row_number() over (partition by query_id, label order by score desc, id)::int as r from pairs qualify r <= {K}), placed as (select *, row_number() over (partition by query_id order by label, r) as place from pool)"
 
 
 @query(f"with {POOL} select query_id, id, row_number() over (partition by query_id order by score desc, place)::int as rerank_rank from placed")
-def rerank_by_score(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    pool = _out(retrieve.knn(*_sides(spark, d, whole), K, "label"), "label").withColumn("place", F.struct("label", "rank"))
+def rerank_by_score(spark: SparkSession, d: str) -> DataFrame:
+    pool = _out(retrieve.knn(*_sides(spark, d), K, "label"), "label").withColumn("place", F.struct("label", "rank"))
     return retrieve.rerank(pool, "query_id", "score", "place").select("query_id", "id", "rerank_rank")
 
 
 @query(f"with {POOL} select query_id, id, (count(*) over (partition by query_id) - place + 1)::int as identity_score from placed")
-def rerank_identity(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def rerank_identity(spark: SparkSession, d: str) -> DataFrame:
     """The pool's own order as a score."""
     from pyspark.sql import Window
 
-    pool = _out(retrieve.knn(*_sides(spark, d, whole), K, "label"), "label")
+    pool = _out(retrieve.knn(*_sides(spark, d), K, "label"), "label")
     w = Window.partitionBy("query_id")
     place = F.row_number().over(w.orderBy("label", "rank"))
     return pool.select("query_id", "id", (F.count(F.lit(1)).over(w) - place + 1).cast("int").alias("identity_score"))
 
 
 @query(f"with {POOL}, k as (select query_id, label, count(*) as n from (select *, row_number() over (partition by query_id order by score desc, place) as k from placed) where k <= 10 group by all) select label, sum(n)::bigint as kept, round(sum(n) / sum(sum(n)) over (), 9) as share from k group by label")
-def corpus_distribution(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def corpus_distribution(spark: SparkSession, d: str) -> DataFrame:
     """Which corpora the reranked top ten come from."""
     from pyspark.sql import Window
 
-    pool = _out(retrieve.knn(*_sides(spark, d, whole), K, "label"), "label").withColumn("place", F.struct("label", "rank"))
+    pool = _out(retrieve.knn(*_sides(spark, d), K, "label"), "label").withColumn("place", F.struct("label", "rank"))
     per = retrieve.rerank(pool, "query_id", "score", "place", 10).groupBy("label").agg(F.count(F.lit(1)).alias("kept"))
     return per.withColumn("share", F.round(F.col("kept") / F.sum("kept").over(Window.partitionBy()), 9))
 
 
-def _add_whole(f: Callable[..., DataFrame]) -> None:
-    """The same search over the whole query set, with the SQL of that set."""
-
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return f(spark, d, True)
-
-    run.__name__, run.__doc__ = f"{f.__name__}_whole", f.__doc__
-    query(ORACLE_SQL[f.__name__].replace(f"q.vec_id < {QUERIES}", f"q.vec_id % {EVERY} = 0"))(run)
-
-
-for _f in (knn_topk, knn_balanced, knn_shard_concat, knn_native, rerank_by_score, rerank_identity, corpus_distribution):
-    _add_whole(_f)
-
-
 @query("select vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 9) as norm from embeddings")
 def vector_norm_audit(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("embedding")
