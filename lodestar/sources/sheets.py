@@ -100,13 +100,6 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_array(df: DataFrame, path: str) -> None:
-    """One JSON array with a record a line, in one file; for outputs of bounded size, lists stay lists."""
-    lines = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
-    body = lines.agg(F.array_join(F.array_sort(F.collect_list("j")), ",\n").alias("b")).select(F.concat(F.lit("[\n"), F.col("b"), F.lit("\n]")).alias("value"))
-    body.coalesce(1).write.mode("errorifexists").text(path)
-
-
 def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
     """Each expected file (name, md5) with its state: ok, damaged or missing; files as read by binaryFile."""
     found = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("content").alias("found"))
