@@ -43,7 +43,7 @@ from ._store import bound_batches, store
 MAX_N, MIN_COUNT, EXTENSION_PERCENT, TOP = 3, 10, 50, 2000
 FILTER_BITS, PARTS = 1 << 26, 64
 #: Bytes read at once, and bytes of words whose n-grams are counted together.
-BLOCK, HELD = 1 << 20, 12 << 20
+BLOCK, HELD = 1 << 20, 6 << 20
 #: Phrases in a batch that goes to Spark.
 ROWS = 1 << 15
 
