@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.catalog import query, table
 from lodestar.functions import text as X
-from lodestar.operators import layers, retrieve
+from lodestar.operators import impact, layers, retrieve
 
 DEPTH = 20
 
@@ -124,6 +124,14 @@ def _bm25(spark: SparkSession, d: str, depth: int) -> DataFrame:
     return retrieve.top(scores, ["item_id"], [F.desc("score"), F.col("doc_id")], depth)
 
 
+@query(f"with {BM25} select item_id, doc_id, score, rank from br where rank <= 10")
+def bm25_pruned_top10(spark: SparkSession, d: str) -> DataFrame:
+    """The same ten from stored impacts and maxima, most pairs never scored."""
+    asked = retrieve.terms(_questions(spark, d), "item_id", X.training_tokens(F.col("text")))
+    index = impact.build(table(spark, d, "documents"), "doc_id", X.training_tokens(F.col("text")), asked.select("term").distinct())
+    return impact.search(index, asked, "item_id", "doc_id", 10)[0]
+
+
 @query(f"with {BM25} select item_id, doc_id, score, rank from br where rank <= 10")
 def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d, 10).select("item_id", "doc_id", "score", "rank")
