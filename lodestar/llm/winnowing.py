@@ -3,10 +3,12 @@
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after folding A-Z. Of every
 WINDOW consecutive K-grams the one with the smallest hash is kept, in training
 and test texts alike, so any shared span of WINDOW + K - 1 = 13 words shares a
-kept fingerprint. Training and test fingerprints are joined, and each hit is
-extended word by word to both sides; a run of at least 13 equal words is an
-occurrence. Items of fewer than 13 words lie under that guarantee: they are
-looked up as one whole gram of their own length.
+kept fingerprint. Training and test fingerprints are joined, each different one
+of a text once, and the hits are extended over their texts: every window of 13
+words of a text with a hit is looked up among the items' windows, where each
+different one stands once, however often a text or an item repeats it. Items of
+fewer than 13 words lie under that guarantee: they are looked up as one whole
+gram of their own length.
 
 The benchmark is the stated query set. Its size is measured first; it is
 broadcast in blocks of at most BLOCK_BYTES of text, each block against all
@@ -33,7 +35,7 @@ from ._store import bound_batches, private, store
 SPAN, K = 13, 5
 WINDOW = SPAN - K + 1
 BLOCK_BYTES = 32 << 20
-_WORD = A.byte_values(21, lower=True)
+_WORD, _GRAM = A.byte_values(21, lower=True), 23
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,17 +67,16 @@ class Index:
         self.ids = ids
         self.words, self.first = words_of(data, offsets)
         length = np.diff(self.first)
-        self.item = np.repeat(np.arange(len(length)), length)
-        prints, at = winnow(self.words, self.first)
-        order = np.argsort(prints, kind="stable")
-        self.prints, self.at = prints[order], at[order]
+        self.item = np.repeat(np.arange(len(length)), length)  # of each word
+        self.prints = np.unique(winnow(self.words, self.first)[0])
+        grams, at = A.windows(self.words, self.first, SPAN, _GRAM)
+        self.grams, self.of_gram = _different(grams, self.item[at])
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in sorted(set(length[(length > 0) & (length < SPAN)].tolist())):
             grams, at = A.windows(self.words, self.first, n, 30 + n)
             whole = length[self.item[at]] == n
             grams, at = grams[whole], at[whole]
-            order = np.argsort(grams, kind="stable")
-            self.short[n] = grams[order], self.item[at[order]]
+            self.short[n] = _different(grams, self.item[at])
 
 
 def _pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,35 +87,51 @@ def _pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return i, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
 
 
-def occurrences(index: Index, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and item of the runs of words that windows of the items cover."""
-    found = [(np.zeros(0, np.int64),) * 3]
-    prints, at = winnow(words, first)
-    i, j = _pairs(prints, index.prints)
-    if len(i):
-        p, q = at[i], index.at[j]
-        doc = np.searchsorted(first, p, side="right") - 1
-        item = index.item[q]
-        room = np.minimum(p - first[doc], q - index.first[item]), np.minimum(first[doc + 1] - p, index.first[item + 1] - q)
-        after, going = np.zeros(len(p), np.int64), np.ones(len(p), bool)
-        for step in range(SPAN):
-            can = np.flatnonzero(going & (step < room[1]))
-            going[:] = False
-            going[can] = words[p[can] + step] == index.words[q[can] + step]
-            after += going
-        before, going = np.zeros(len(p), np.int64), after >= K
-        for step in range(1, SPAN - K + 1):
-            can = np.flatnonzero(going & (step <= room[0]))
-            going = np.zeros(len(p), bool)
-            going[can] = words[p[can] - step] == index.words[q[can] - step]
-            before += going
-        long = before + after >= SPAN
-        found.append(((p - before)[long], (p + after)[long], item[long]))
-    for n, (grams, items) in index.short.items():
-        mine, at = A.windows(words, first, n, 30 + n)
+def _different(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of gram and owner once, in order of grams."""
+    order = np.lexsort((owner, grams))
+    grams, owner = grams[order], owner[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+    return grams[new], owner[new]
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in the ordered array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def occurrences(index: Index, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of the windows of the texts that are windows of items; then text and item of each pair that shares one."""
+    none = np.zeros(0, np.int64)
+    starts, ends, texts, items = [none], [none], [none], [none]
+
+    def look_up(own: np.ndarray, own_first: np.ndarray, shift: np.ndarray, width: int, salt: int, grams: np.ndarray, of_gram: np.ndarray) -> None:
+        mine, at = A.windows(own, own_first, width, salt)
+        found = _among(mine, grams)
+        mine, at = mine[found], at[found]
+        text = np.searchsorted(own_first, at, side="right") - 1
+        starts.append(at + shift[text])
+        ends.append(at + shift[text] + width)
+        mine, text = _different(mine, text)
         i, j = _pairs(mine, grams)
-        found.append((at[i], at[i] + n, items[j]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        texts.append(text[i])
+        items.append(of_gram[j])
+
+    prints, at = winnow(words, first)
+    hit = np.unique(np.searchsorted(first, at[_among(prints, index.prints)], side="right") - 1)
+    if len(hit):
+        length = first[hit + 1] - first[hit]
+        own_first = np.concatenate([[0], np.cumsum(length)])
+        shift = first[hit] - own_first[:-1]
+        before = len(texts)
+        look_up(words[np.arange(own_first[-1]) + np.repeat(shift, length)], own_first, shift, SPAN, _GRAM, index.grams, index.of_gram)
+        texts[before] = hit[texts[before]]
+    for n, (grams, of_gram) in index.short.items():
+        look_up(words, first, np.zeros(len(first), np.int64), n, 30 + n, grams, of_gram)
+    return np.concatenate(starts), np.concatenate(ends), np.concatenate(texts), np.concatenate(items)
 
 
 def _kernel(index, keep: list[str], merge: bool):
@@ -126,8 +143,7 @@ def _kernel(index, keep: list[str], merge: bool):
             for i, j in A.blocks(offsets):
                 at = offsets[i : j + 1]
                 words, first = words_of(data[at[0] : at[-1]], at - at[0])
-                start, end, item = occurrences(own, words, first)
-                doc = np.searchsorted(first, start, side="right") - 1
+                start, end, doc, item = occurrences(own, words, first)
                 items: list[set[str]] = [set() for _ in range(j - i)]
                 for d, x in set(zip(doc.tolist(), item.tolist(), strict=True)):
                     items[d].add(own.ids[x])
