@@ -3,10 +3,12 @@
 Texts are folded to lower case, everything but letters becomes a space, and
 all 1- to 3-grams of characters are hashed into BUCKETS. Counts per language
 are summed on the executors from a documented sample of at most about
-``rows_per_lang`` labelled rows of each language (whole texts, drawn by a hash
-of the row); the log-probability matrix (languages x BUCKETS, whose size does
-not depend on the corpus) is broadcast, and each batch is scored at once in
-numpy. Every text is scored whole.
+``rows_per_lang`` labelled rows of each language (whole texts; every row is
+drawn on its own, copies of a text too, so no language can drop out with one
+text). The first ``max_langs`` languages by rows are learnt, so the
+log-probability matrix (languages x BUCKETS) has at most max_langs x 256 KB,
+however many values the column has; it is broadcast, and each batch is scored at
+once in numpy. Every text is scored whole.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0;
 rows without a language, or with a null id, teach nothing; ties go to the
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from ._store import bound_batches, private
 
 BUCKETS = 1 << 16
-ROWS_PER_LANG = 8000
+ROWS_PER_LANG, MAX_LANGS = 8000, 256
 SMOOTHING = 0.5
 BLOCK_CHARS = 1 << 18
 _letters: list[np.ndarray] = []
@@ -125,16 +127,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bucket)), pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "bucket", "n"])
 
 
-def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", rows_per_lang: int = ROWS_PER_LANG) -> Model:
-    """Learn from a hash-drawn sample of about rows_per_lang rows of each language, or all rows if there are fewer."""
+def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", rows_per_lang: int = ROWS_PER_LANG, max_langs: int = MAX_LANGS) -> Model:
+    """Learn from a drawn sample of about rows_per_lang rows of each language, or all rows if there are fewer."""
     bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    draw: Column = F.lit(False)
-    for name, n in sizes.items():
-        chance = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) < int(min(1.0, rows_per_lang / n) * (1 << 30))
-        draw = draw | ((F.col("lang") == name) & chance)
-    counts = rows.where(draw).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
+    sizes = {r["lang"]: r["count"] for r in most.collect()}
+    chances = labelled.sparkSession.createDataFrame([(name, int(min(1.0, rows_per_lang / n) * (1 << 30))) for name, n in sizes.items()], "lang string, chance long")
+    drawn = rows.withColumn("u", F.pmod(F.xxhash64("text", "lang", F.monotonically_increasing_id()), F.lit(1 << 30)))
+    drawn = drawn.join(F.broadcast(chances), "lang").where(F.col("u") < F.col("chance")).select("lang", "text")
+    counts = drawn.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
     at = {name: k for k, name in enumerate(langs)}
     column = np.array([at[x] for x in counts.column("lang").to_pylist()], np.int64)
