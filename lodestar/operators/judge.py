@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import stats
+
 
 def resolved(annotations: DataFrame, decisions: DataFrame, key: list[str]) -> DataFrame:
     """Every annotation with its decision; `matched` is false, and the decision null, where there is none."""
@@ -40,7 +42,8 @@ def discrimination(df: DataFrame, terms: list[str], admitted: str) -> DataFrame:
         F.count_distinct("v").alias("distinct_values"), F.min("v").alias("low"), F.max("v").alias("high"),
         F.round(mean(yes), 6).alias("mean_admitted"), F.round(mean(no), 6).alias("mean_rejected"), F.round(mean(yes) - mean(no), 6).alias("difference"),
     )
-    return out
+    middle = stats.quantile(long.select("term", F.col("v").cast("double").alias("v")), "v", 0.5, ["term"], "median")
+    return out.join(middle.withColumn("median", F.round("median", 6)), "term")
 
 
 def clusters(df: DataFrame, by: str) -> DataFrame:

@@ -97,7 +97,7 @@ def overlapping_groups(spark: SparkSession, d: str) -> DataFrame:
     return judge.overlapping_groups(rows, {k: F.expr(v) for k, v in GROUPS.items()}, "label")
 
 
-@query(f"with {CAND}, u as (" + " union all ".join(f"select '{t}' as term, {t}::double as v, admitted from adm" for t in TERMS) + ") select term, count(distinct v)::bigint as distinct_values, min(v) as low, max(v) as high, round(avg(v) filter (where admitted), 6) as mean_admitted, round(avg(v) filter (where not admitted), 6) as mean_rejected, round(avg(v) filter (where admitted) - avg(v) filter (where not admitted), 6) as difference from u group by term")
+@query(f"with {CAND}, u as (" + " union all ".join(f"select '{t}' as term, {t}::double as v, admitted from adm" for t in TERMS) + ") select term, count(distinct v)::bigint as distinct_values, min(v) as low, max(v) as high, round(avg(v) filter (where admitted), 6) as mean_admitted, round(avg(v) filter (where not admitted), 6) as mean_rejected, round(avg(v) filter (where admitted) - avg(v) filter (where not admitted), 6) as difference, round(median(v), 6) as median from u group by term")
 def term_discrimination(spark: SparkSession, d: str) -> DataFrame:
     """A30."""
     return judge.discrimination(decisions(spark, d), TERMS, "admitted")

@@ -59,7 +59,7 @@ def qc_status_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 EVIDENCE = """e as (select page_id as id, page_id % 9 <> 0 as given, case page_id % 5 when 0 then 'https://creativecommons.org/licenses/by/4.0/' when 1 then 'publisher terms' else '' end as ref, case page_id % 7 when 2 then 'ccbylicense' when 3 then 'cc0license' else '' end as kind,
-case page_id % 4 when 1 then 'Text and data mining is allowed. ' else '' end || substr(html, 1, 200) as prose, case page_id % 3 when 0 then 'TDM permitted' when 1 then 'c 2020' else '' end as stmt from pages)"""
+case page_id % 4 when 1 then 'Text and data mining is allowed. ' else '' end || coalesce(html, '') as prose, case page_id % 3 when 0 then 'TDM permitted' when 1 then 'c 2020' else '' end as stmt from pages)"""
 
 
 @query(f"""with {EVIDENCE} select id, case when given and (regexp_matches(ref, '{R.CC_URL}') or regexp_matches(prose, '{R.CC_URL}') or regexp_matches(kind, '{R.CC_TYPE}')) then 'A' when regexp_matches(case when given then prose else stmt end, '{R.TDM_PROSE}') then 'C' when given then 'B' else 'D' end as tier from e""")
@@ -68,7 +68,7 @@ def licence_tier(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("page_id")
     rows = table(spark, d, "pages").select(
         k.alias("id"), (k % 9 != 0).alias("given"), F.when(k % 5 == 0, "https://creativecommons.org/licenses/by/4.0/").when(k % 5 == 1, "publisher terms").otherwise("").alias("ref"), F.when(k % 7 == 2, "ccbylicense").when(k % 7 == 3, "cc0license").otherwise("").alias("kind"),
-        F.concat(F.when(k % 4 == 1, "Text and data mining is allowed. ").otherwise(""), F.substring("html", 1, 200)).alias("prose"), F.when(k % 3 == 0, "TDM permitted").when(k % 3 == 1, "c 2020").otherwise("").alias("stmt"),
+        F.concat(F.when(k % 4 == 1, "Text and data mining is allowed. ").otherwise(""), F.coalesce("html", F.lit(""))).alias("prose"), F.when(k % 3 == 0, "TDM permitted").when(k % 3 == 1, "c 2020").otherwise("").alias("stmt"),
     )
     return rows.select("id", R.licence_tier(*[F.col(c) for c in ("given", "ref", "kind", "prose", "stmt")]).alias("tier"))
 
@@ -130,11 +130,11 @@ def free_text_dates(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("published", R.first_date(F.col("found"), F.lit("  "), F.lit("1900")))
 
 
-@query(r"""with l as (select item_id, trim(regexp_replace(regexp_replace(substr(text, 1, 60), '[()"]', '', 'g'), '\s+', ' ', 'g')) as t from benchmark)
+@query(r"""with l as (select item_id, trim(regexp_replace(regexp_replace(text, '[()"]', '', 'g'), '\s+', ' ', 'g')) as t from benchmark)
 select item_id, '(' || t || case when item_id % 3 = 1 then ' AND second' else '' end || ') AND ("2020/01/01"[Date - Publication] : "2024/12/31"[Date - Publication])' as term from l""")
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
     """A query block loses its own date filter and is scoped to a window."""
-    t, k = X.squash(F.regexp_replace(F.substring("text", 1, 60), r'[()"]', "")), F.col("item_id") % 3
+    t, k = X.squash(F.regexp_replace("text", r'[()"]', "")), F.col("item_id") % 3
     old = F.lit('("2019/01/01"[Date - Publication] : "2019/12/31"[date - publication])')
     lines = F.when(k == 0, F.array(t, F.lit("AND"), old)).when(k == 1, F.array(t, F.lit("AND"), old, F.lit("AND second"))).otherwise(F.array(F.lit("AND"), old, F.lit("and"), t))
     return table(spark, d, "benchmark").select("item_id", R.query_term(lines, F.lit("2020/01/01"), F.lit("2024/12/31")).alias("term"))
@@ -218,14 +218,14 @@ def choice_with_options(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", letter.alias("choice"), R.correct(letter, F.char(65 + F.col("turn").cast("int") % 4)).alias("right"))
 
 
-NEED = "regexp_replace(substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 80), '\\s+', ' ', 'g')"
+NEED = "regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), '\\s+', ' ', 'g')"
 
 
 @query(f"""with b as (select item_id, trim({NEED}) as t from benchmark), g as (select *, length(t) between 15 and 220 and len(string_split(t, ' ')) >= 4 and not list_contains({_quoted(X.DANGLING)}, lower(list_extract(string_split(t, ' '), -1))) as good from b)
-select item_id, case when item_id % 3 = 0 then t || '?' when good then t end as need, case when item_id % 3 = 0 then 'title_question' when good then 'objective_np' end as method from g""")
+select item_id, case when q then t || '?' when good then t end as need, case when q then 'title_question' when good then 'objective_np' end as method from (select *, item_id % 3 = 0 and length(t || '?') between 15 and 220 as q from g)""")
 def information_needs(spark: SparkSession, d: str) -> DataFrame:
     """What a document says that it asks."""
-    t = F.trim(F.regexp_replace(F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 80), r"\s+", " "))
+    t = F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ]", ""), r"\s+", " "))
     k = F.col("item_id") % 3
     title = F.when(k == 0, F.concat(t, F.lit(" ?"[1:]))).otherwise("A plain title")
     body = F.when(k == 1, F.concat(F.lit("Before it. OBJECTIVE: To assess "), t, F.lit(". More of it."))).otherwise(F.concat(F.lit("Some words first. In this work we aimed to measure "), t, F.lit(". And then.")))
@@ -243,7 +243,7 @@ XML_TEXT = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x00-\\x08
 XML_WORDS = f"len(list_filter(string_split({XML_TEXT}, ' '), lambda w: w <> ''))"
 
 
-@query(f"""with r as (select doc_id, lang, source, {XML_WORDS} as w from documents where regexp_full_match(coalesce(text, ''), '[\\x00-\\x7F]*'))
+@query(f"""with r as (select doc_id, lang, source, {XML_WORDS} as w from documents)
 select doc_id::varchar as id, case when doc_id % 11 = 0 then 'parse_error' when doc_id % 5 = 0 then 'no_body' else 'ok' end as status, case when doc_id % 11 <> 0 then '10.1/' || doc_id end as doi, case when doc_id % 11 <> 0 then 'Title of ' || doc_id end as title, case when doc_id % 11 <> 0 then 'Ann Lee;Group ' || coalesce(lang, 'x') end as authors,
 case when doc_id % 11 <> 0 then 2 end as affiliations, case when doc_id % 11 <> 0 then 'The plain one' end as abstract, case when doc_id % 11 <> 0 then case when doc_id % 3 = 0 then '2020-03-07' else '2019' end end as published,
 case when doc_id % 11 <> 0 then case when doc_id % 5 = 0 then 0 else w end end::bigint as body_words, case when doc_id % 11 <> 0 then case when doc_id % 5 = 0 then 0 else 2 end end as sections, case when doc_id % 11 <> 0 then 2 end as "references" from r""")
@@ -252,7 +252,7 @@ def article_records(spark: SparkSession, d: str) -> DataFrame:
     from lodestar.sources import articles
 
     k = F.col("doc_id")
-    rows = table(spark, d, "documents").where(F.coalesce("text", F.lit("")).rlike(r"^[\x00-\x7F]*$"))
+    rows = table(spark, d, "documents")
     person = "<contrib contrib-type='author'><name><surname>Lee</surname><given-names>Ann</given-names></name></contrib><contrib contrib-type='editor'><name><surname>Ed</surname></name></contrib>"
     head = F.concat(
         F.lit("<article xmlns:xlink='http://www.w3.org/1999/xlink'><front><article-meta><article-id pub-id-type='doi'>10.1/"), k.cast("string"), F.lit("</article-id><title-group><article-title>Title <italic>of</italic> "), k.cast("string"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.catalog import query, table
-from lodestar.operators import retrieve, select
+from lodestar.operators import order, retrieve, select
 from lodestar.plans.evidence import CAND, decisions
 
 
@@ -113,13 +113,11 @@ def ranking_depth(spark: SparkSession, d: str) -> DataFrame:
     return decisions(spark, d).where("rank <= 10").select("event_id", "user_id", "rank")
 
 
-@query("select c_name, row_number() over (order by regexp_extract(c_name, '(\\d+)$', 1)::bigint, c_name)::int as place from customer where c_nationkey = 3")
+@query("select c_name, row_number() over (order by regexp_extract(c_name, '(\\d+)$', 1)::bigint, c_name)::bigint as place from customer")
 def numeric_suffix_order(spark: SparkSession, d: str) -> DataFrame:
     """Names by the number they end with."""
-    from pyspark.sql import Window
-
-    rows = table(spark, d, "customer").where("c_nationkey = 3").withColumn("n", select.numbers_in(F.col("c_name"), r"(\d+)$"))
-    return rows.select("c_name", F.row_number().over(Window.orderBy("n", "c_name")).alias("place"))
+    rows = table(spark, d, "customer").select("c_name", select.numbers_in(F.col("c_name"), r"(\d+)$")["n0"].alias("n"))
+    return order.places(rows, ["n", "c_name"], "place").select("c_name", (F.col("place") + 1).alias("place"))
 
 
 @query("select l_orderkey, arg_max(l_partkey::varchar || '.v' || l_linenumber, l_linenumber) as newest, max(l_linenumber) as version from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey) as k from lineitem) where k = 1 group by l_orderkey")
