@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules of queries, once."""
-    from lodestar.plans import answers, audits, corpus, evidence, judgement, labels, overlays, records, resampling, selection, vectors  # noqa: F401
+    from lodestar.plans import answers, audits, corpus, encoding, evidence, judgement, labels, overlays, records, resampling, selection, vectors  # noqa: F401
 
 
 load()
