@@ -13,7 +13,7 @@ from lodestar.functions import text as X
 from lodestar.operators import layers
 from lodestar.session import shared_dir
 from lodestar.sources import markup
-from lodestar.streaming import ingest
+from lodestar.streaming import ingest, labelling
 
 
 @query(r"""with c as (select conv_id, turn, 'The answer is (' || chr(65 + (turn % 4)::int) || '). Not option ' || chr(65 + (conv_id % 4)::int) || '.' as answer from conversations) select conv_id, turn, upper(regexp_extract(answer, '(?i)answer\s+is\s*:?\s*\(?([ABCDE])\b', 1)) as choice from c""")
@@ -103,3 +103,16 @@ def retry_state(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     newest = layers.last_wins(e.select("user_id", "event_type", "ts", "event_id"), ["user_id"], ["ts", "event_id"])
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("attempts")).join(newest, "user_id").select("user_id", "attempts", F.col("event_type").alias("state"))
+
+
+VALID = ["view", "click", "purchase"]
+
+
+@query(f"""with e as (select user_id, event_id as seq, event_type, event_type in ({', '.join(f"'{v}'" for v in VALID)}) as ok from events where user_id is not null and event_id is not null)
+select user_id, seq, case when ok then 'accepted' else 'invalid' end as status, case when ok then null when event_type is null then 'no label' else 'unknown label ' || event_type end as reason,
+ last_value(case when ok then event_type end ignore nulls) over (partition by user_id order by seq rows between unbounded preceding and 1 preceding) as previous,
+ count(*) filter (where ok) over (partition by user_id order by seq)::bigint as accepted, count(*) filter (where ok is not true) over (partition by user_id order by seq) = 0 as in_prefix from e""")
+def stream_labels(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of labels, each judged against its key's state."""
+    stream = ingest._source(spark, f"{d}/events.parquet")
+    return labelling.judged(stream, "user_id", "event_id", "event_type", VALID, f"{shared_dir(spark)}/lodestar/labels-{uuid.uuid4().hex}")
