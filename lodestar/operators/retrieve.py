@@ -146,6 +146,18 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, group: str | None = None,
     return top(merged, ["query_id", *groups], [F.desc("score"), F.col("id")], k)
 
 
+def merge_shards(heads: list[DataFrame], by: list[str], k: int) -> DataFrame:
+    """W02, score: the k best of each query over the shards' own heads (id, score), in whatever order they come.
+
+    Two shards' heads merge to the head of both, so heads of heads merge in the same way; the cut before the shuffle
+    keeps at most k rows of a query from each task.
+    """
+    rows = heads[0].select(*by, "id", "score")
+    for head in heads[1:]:
+        rows = rows.unionByName(head.select(*by, "id", "score"))
+    return top(rows, by, [F.desc("score"), F.col("id")], k)
+
+
 def rerank(pool: DataFrame, by: str, score: str, place: str, depth: int | None = None) -> DataFrame:
     """1-based ranks by score, ties in pool order, cut at a depth."""
     ranked = pool.withColumn("rerank_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), place)))

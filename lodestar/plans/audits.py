@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.catalog import query
-from lodestar.operators import audit
+from lodestar.catalog import query, table
+from lodestar.operators import audit, integrity
 from lodestar.plans.evidence import CAND, decisions
 from lodestar.plans.judgement import SHEET, _judged
 from lodestar.stored import write_once
@@ -108,3 +108,20 @@ def anchoring_audit(spark: SparkSession, d: str) -> DataFrame:
     hint = F.when(n % 5 != 0, y * (1 - (n % 3 == 0).cast("int")))
     shown = F.when(n % 4 == 0, F.lit(True)).when(n % 4 == 1, F.lit(False))
     return audit.anchoring(_judged(spark, d), y, hint, shown, F.lit(None).cast("boolean"))
+
+
+@query("""with l as (select sale_id as key, count(*) as n, min(shipped_at) as first, min(flag) as f1, max(flag) as f2 from sale_lines group by sale_id), s as (select sale_id as key, count(*) as n, min(status) as status, min(sold_at) as sold, max(sold_at) as sold_last from sales group by sale_id),
+j as (select coalesce(l.key, s.key) as key, coalesce(l.n, 0) as ln, coalesce(s.n, 0) as sn, first, f1, f2, status, sold, sold_last from l full join s on l.key is not distinct from s.key)
+select key, 'orphan' as kind from j where ln > 0 and sn = 0 union all select key, 'no_lines' from j where sn > 0 and ln = 0 union all select key, 'excluded_leak' from j where status = 'held' and ln > 0 union all select key, 'repeated' from j where sn > 1
+union all select key, 'shipped_before_sold' from j where first < sold union all select key, 'conflict' from j where f1 <> f2 union all select key, 'undated' from j where sn > 0 and sold is null""")
+def integrity_join(spark: SparkSession, d: str) -> DataFrame:
+    """Sales and their lines: orphans, lines of excluded sales, repeats, dates out of order, lines that disagree; each as a row."""
+    tables = {
+        "lines": (table(spark, d, "sale_lines"), "sale_id", {"shipped": F.col("shipped_at"), "flag": F.col("flag")}),
+        "sales": (table(spark, d, "sales"), "sale_id", {"status": F.col("status"), "sold": F.col("sold_at")}),
+    }
+    lines, sales = F.col("lines_n") > 0, F.col("sales_n") > 0
+    return integrity.mismatches(tables, {
+        "orphan": lines & ~sales, "no_lines": sales & ~lines, "excluded_leak": (F.col("sales_status_min") == "held") & lines, "repeated": F.col("sales_n") > 1,
+        "shipped_before_sold": F.col("lines_shipped_min") < F.col("sales_sold_min"), "conflict": F.col("lines_flag_min") != F.col("lines_flag_max"), "undated": sales & F.col("sales_sold_min").isNull(),
+    })

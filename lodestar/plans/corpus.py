@@ -237,7 +237,7 @@ def answer_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
     best = retrieve.lexical(_q_terms(spark, d), _c_terms(spark, d), "item_id", "chunk_id", DEPTH).where("rank <= 5").select("item_id", "chunk_id", "rank")
     asked = _questions(spark, d).select("item_id", F.col("text").alias("question"))
-    rows = _chunks(spark, d).select("chunk_id", "text").join(F.broadcast(best), "chunk_id").join(asked, "item_id")
+    rows = _chunks(spark, d).select("chunk_id", "text").join(F.broadcast(best) if retrieve._few(_questions(spark, d)) else best, "chunk_id").join(asked, "item_id")
     rows = rows.withColumn("kept", model.stub_probability(F.col("question"), F.col("text")) >= 0.7)
     kept = select.with_fallback(rows, "item_id", "rank", "kept", "keep_top1").where("kept")
     evidence = retrieve.context(kept, "item_id", "rank", "text").join(asked, "item_id")
@@ -258,7 +258,7 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
     best = retrieve.lexical(_q_terms(spark, d), _c_terms(spark, d), "item_id", "chunk_id", DEPTH).where("rank <= 5").select("item_id", "chunk_id")
     gold = F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("item_id") % 4 + 1).cast("int"))
     asked = _questions(spark, d).select("item_id", F.col("text").alias("question"), gold.alias("gold")).withColumns({"closed": model.stub_choice(F.col("question")) == F.col("gold"), "alone": model.stub_probability(F.col("question"))})
-    rows = _chunks(spark, d).select("chunk_id", "text").join(F.broadcast(best), "chunk_id").join(asked, "item_id")
+    rows = _chunks(spark, d).select("chunk_id", "text").join(F.broadcast(best) if retrieve._few(_questions(spark, d)) else best, "chunk_id").join(asked, "item_id")
     helped = model.stub_choice(F.concat_ws("\n", "question", "text")) == F.col("gold")
     delta = F.round(model.stub_probability(F.col("question"), F.col("text")) - F.col("alone"), 9)
     rows = rows.select("item_id", "chunk_id", "closed", helped.alias("helped"), delta.alias("delta"))

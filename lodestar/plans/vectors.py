@@ -43,6 +43,14 @@ def knn_shard_concat(spark: SparkSession, d: str) -> DataFrame:
     return _out(retrieve.knn(*_sides(spark, d), K, "shard"), "shard")
 
 
+@query(f"with {PAIRS} select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from pairs qualify rank <= {K}")
+def knn_shard_score(spark: SparkSession, d: str) -> DataFrame:
+    """W02, score: the shards' heads merged, which is the search over all."""
+    queries, corpus = _sides(spark, d)
+    heads = [retrieve.knn(queries, corpus.where(F.col("shard") == s), K) for s in range(4)]
+    return _out(retrieve.merge_shards(heads, ["query_id"], K))
+
+
 @query(f"with {PAIRS} select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from pairs qualify rank <= {K}")
 def knn_native(spark: SparkSession, d: str) -> DataFrame:
     """The specification in built-in expressions."""

@@ -30,7 +30,7 @@ def duck(sf):
 
     con = duckdb.connect()
     con.execute("set TimeZone = 'UTC'")
-    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split():
         path = f"{sf}/{t}.parquet"
         con.execute(f"create view {t} as select * from '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     return con
