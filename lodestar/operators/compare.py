@@ -13,6 +13,26 @@ def admission_by(df: DataFrame, key: Column) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("candidates"), F.count_if("admitted").alias("admitted"), F.round(F.count_if("admitted") / F.count(F.lit(1)), 9).alias("rate"))
 
 
+def arm_summary(rows: DataFrame, arm: str, by: str, admitted: str, chars: str, error: str) -> DataFrame:
+    """Of each arm the questions attempted, failed and without evidence, and what the others admitted.
+
+    A question failed if any of its rows has an error, and then counts for nothing else. Two aggregations, by (arm,
+    question) and by arm, both combined before the shuffle; means and rates are 0 where no question succeeded.
+    """
+    per = rows.groupBy(arm, by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(admitted).alias("k"), F.sum(F.when(F.col(admitted), F.col(chars)).otherwise(0)).alias("chars"), (F.count(error) > 0).alias("failed"),
+    )
+    ok = ~F.col("failed")
+    done = F.count_if(ok)
+    of = lambda c: F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0))
+    mean = lambda c, places: F.coalesce(F.round(F.try_divide(of(c).cast("double"), done.cast("double")), places), F.lit(0.0))
+    return per.groupBy(arm).agg(
+        F.count(F.lit(1)).alias("attempted"), done.alias("succeeded"), F.count_if("failed").alias("failed"), mean("n", 3).alias("mean_candidates"), mean("k", 3).alias("mean_admitted"),
+        of("k").alias("total_admitted"), of("n").alias("total_candidates"), F.coalesce(F.round(F.try_divide(of("k").cast("double"), of("n").cast("double")), 6), F.lit(0.0)).alias("admission_rate"),
+        F.count_if(ok & (F.col("k") == 0)).alias("no_evidence"), mean("chars", 1).alias("mean_context_chars"),
+    )
+
+
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """The two-by-two table of two binary arms, their rates, and the Jaccard of what they admit (null if nothing)."""
     x, y, n = F.col(a), F.col(b), F.count(F.lit(1))

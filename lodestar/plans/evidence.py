@@ -153,6 +153,19 @@ def contingency_2x2(spark: SparkSession, d: str) -> DataFrame:
     return compare.contingency(_arms(spark, d), "a", "b")
 
 
+@query(f"""with {ARMS}, u as (select 'first' as arm, user_id, a as admitted, value, case when value is null then 'no score' end as error from arms join (select event_id, value from events) using (event_id) union all select 'second', user_id, b, value, case when value < 0 then 'negative score' end from arms join (select event_id, value from events) using (event_id)),
+p as (select arm, user_id, count(*) as n, count(*) filter (where admitted) as k, sum(case when admitted then length(round(value)::bigint::varchar) else 0 end) as chars, count(error) > 0 as failed from u group by all), o as (select *, not failed as ok from p)
+select arm, count(*)::bigint as attempted, count(*) filter (where ok)::bigint as succeeded, count(*) filter (where failed)::bigint as failed, coalesce(round(sum(n) filter (where ok) / count(*) filter (where ok), 3), 0.0)::double as mean_candidates, coalesce(round(sum(k) filter (where ok) / count(*) filter (where ok), 3), 0.0)::double as mean_admitted,
+coalesce(sum(k) filter (where ok), 0)::bigint as total_admitted, coalesce(sum(n) filter (where ok), 0)::bigint as total_candidates, coalesce(round(sum(k) filter (where ok) / sum(n) filter (where ok), 6), 0.0)::double as admission_rate, count(*) filter (where ok and k = 0)::bigint as no_evidence, coalesce(round(sum(chars) filter (where ok) / count(*) filter (where ok), 1), 0.0)::double as mean_context_chars from o group by arm""")
+def arm_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Both arms' questions, failures, admissions and context; an arm fails on a question by an event that it can't score."""
+    rows = _arms(spark, d).join(table(spark, d, "events").select("event_id", "value"), "event_id")
+    chars = F.length(F.round("value").cast("bigint").cast("string"))
+    value = F.col("value")
+    arms = [rows.select(F.lit(name).alias("arm"), "user_id", F.col(c).alias("admitted"), chars.alias("chars"), F.when(test, F.lit(why)).alias("error")) for name, c, test, why in (("first", "a", value.isNull(), "no score"), ("second", "b", value < 0, "negative score"))]
+    return compare.arm_summary(arms[0].union(arms[1]), "arm", "user_id", "admitted", "chars", "error")
+
+
 @query(f"""with {ARMS} select user_id, count(*) filter (where a)::bigint as n_a, count(*) filter (where b)::bigint as n_b, count(*) filter (where a and b)::bigint as both,
 round(count(*) filter (where a and b) / nullif(count(*) filter (where a or b), 0), 9) as jaccard from arms group by user_id""")
 def paired_comparison(spark: SparkSession, d: str) -> DataFrame:

@@ -30,3 +30,11 @@ def test_shards_merge_in_any_order(spark):
         assert sorted(map(tuple, retrieve.merge_shards(list(order), ["q"], 4).collect())) == want
     nested = retrieve.merge_shards([retrieve.merge_shards(heads[:2], ["q"], 4), heads[2]], ["q"], 4)
     assert sorted(map(tuple, nested.collect())) == want
+
+
+def test_an_arm_that_always_fails_has_zeros(spark):
+    from lodestar.operators import compare
+
+    rows = [("a", 1, True, 5, None), ("a", 1, False, 9, None), ("a", 2, True, 3, "broken"), ("a", 3, False, 1, None), ("b", 1, True, 5, "broken")]
+    got = {r["arm"]: tuple(r)[1:] for r in compare.arm_summary(spark.createDataFrame(rows, "arm string, q long, k boolean, c long, e string"), "arm", "q", "k", "c", "e").collect()}
+    assert got == {"a": (3, 2, 1, 1.5, 0.5, 1, 3, 0.333333, 1, 2.5), "b": (1, 0, 1, 0.0, 0.0, 0, 0, 0.0, 0, 0.0)}
