@@ -17,7 +17,8 @@ measured through dictionaries trained without it, each threshold gets a logistic
 curve, and the one of the smallest log loss is taken.
 
 Learning takes a documented sample: about TOXIC_ROWS and ORDINARY_ROWS labelled
-rows, drawn by a hash of their id, of texts up to SAMPLE_CHARS characters.
+rows, drawn by a hash of their id, of texts up to SAMPLE_CHARS characters; a
+dictionary is trained on at most 100,000 windows of these, in shuffled order.
 Every text is scored whole.
 
 Defined cases: null and wordless texts have no windows and get the score of
