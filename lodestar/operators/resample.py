@@ -48,9 +48,9 @@ def totals(units: DataFrame, id_: str, values: dict[str, Column], draws: int, se
     draws / 4 rows with a sum for each value and part; nothing is kept of a draw but its sums.
     """
     rows = units.select(F.col(id_).alias("_id"), *[v.alias(n) for n, v in values.items()]).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // SHARE) - 1))))
-    drawn = F.transform(uniforms(seed, F.col("_b"), F.col("_id")), weight)
-    rows = rows.select("_b", *values, F.explode(F.array(drawn)).alias("_w"))  # the generator keeps the weights from being made for each sum
-    summed = rows.groupBy("_b").agg(*[F.sum(F.col("_w")[i] * F.col(n)).alias(f"{n}_{i}") for i in range(SHARE) for n in values])
+    rows = rows.select("_b", *values, F.explode(F.array(F.md5(_text(seed, F.col("_b"), F.col("_id"))))).alias("_h"))  # the generator keeps the md5 from being made for each part
+    part = [weight(_number(F.substring("_h", 7 * i + 1, 7))) for i in range(SHARE)]
+    summed = rows.groupBy("_b").agg(*[F.sum(part[i] * F.col(n)).alias(f"{n}_{i}") for i in range(SHARE) for n in values])
     each = F.array(*[F.struct((F.col("_b") * SHARE + i + 1).alias("draw"), *[F.col(f"{n}_{i}").alias(n) for n in values]) for i in range(SHARE)])
     return summed.select(F.explode(each).alias("r")).select("r.*").where(F.col("draw") <= draws)
 
