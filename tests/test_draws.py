@@ -48,3 +48,14 @@ def test_differences_drawn_together_equal_each_alone(spark):
     pairs = spark.createDataFrame([(i, i / 7, None if i % 3 == 0 else -i / 5) for i in range(40)], "id long, a double, b double")
     together = [r.first() for r in R.paired_bootstraps(pairs, "id", ["a", "b"], 200, 4)]
     assert together == [R.paired_bootstrap(pairs, "id", d, 200, 4).first() for d in ("a", "b")]
+
+
+@pytest.mark.parametrize("flipped", [False, True])
+def test_ranges_and_rows_give_the_same_correlations(spark, monkeypatch, flipped):
+    monkeypatch.setattr(D, "GRID", 64)
+    frame = spark.createDataFrame([(float(i * 37 % 211) if i % 5 else 3.0, i * i % 4) for i in range(400)], "x double, y int")
+    x, y = ("y", "x") if flipped else ("x", "y")
+    by_range = R.bootstrap_spearman(frame, x, y, 40, 3).first()
+    monkeypatch.setattr(R, "_sums_by_range", None)
+    monkeypatch.setattr(R, "FEW", 0)
+    assert by_range == R.bootstrap_spearman(frame, x, y, 40, 3).first()
