@@ -53,8 +53,8 @@ def knn_shard_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {PAIRS} select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from pairs qualify rank <= {K}")
 def knn_native(spark: SparkSession, d: str) -> DataFrame:
-    """The specification in built-in expressions."""
-    return _out(retrieve.top(retrieve.knn_pairs(*_sides(spark, d)), ["query_id"], [F.desc("score"), F.col("id")], K))
+    """Every query with every vector, ranked by the rounded score as the SQL states it."""
+    return _out(retrieve.all_pairs(*_sides(spark, d), K))
 
 
 POOL = f"{PAIRS}, pool as (select query_id, id, label, score, row_number() over (partition by query_id, label order by score desc, id)::int as r from pairs qualify r <= {K}), placed as (select *, row_number() over (partition by query_id order by label, r) as place from pool)"
